@@ -84,7 +84,7 @@ def address(c: Column) -> Column:
 
 def _ones(n: Column) -> Column:
     """A bigint whose first n of 64 bits are set, n from 0 to 64."""
-    return F.when(n <= 0, F.lit(0)).otherwise(F.shiftleft(F.lit(-1).cast("bigint"), (F.lit(64) - n).cast("int")))
+    return F.when(n <= 0, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(64) - n).cast("int")))
 
 
 def mask_hi(hi: Column, length: Column) -> Column:
@@ -120,7 +120,7 @@ def network_text(hi: Column, lo: Column, plen: Column, v6: Column) -> Column:
 def format_cidr(text: Column, length: Column) -> Column:
     """The network of an IPv4 address at a prefix length; other text is joined with the length as it is."""
     n = ipv4_to_long(text)
-    net = n.bitwiseAND(F.shiftleft(F.lit(-1).cast("bigint"), (F.lit(32) - length).cast("int")))
+    net = n.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(32) - length).cast("int")))
     return F.when(n.isNotNull(), F.concat(long_to_ipv4(net), F.lit("/"), length.cast("string"))).otherwise(F.concat(text, F.lit("/"), length.cast("string")))
 
 
