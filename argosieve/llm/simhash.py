@@ -100,7 +100,7 @@ def _strips(rep: int) -> np.ndarray:
 
 
 def _on_strip(bits: np.ndarray, strip: np.ndarray) -> np.ndarray:
-    return np.packbits(bits[:, strip], axis=1, bitorder="little").view(np.uint16).ravel()
+    return np.packbits(np.ascontiguousarray(bits[:, strip]), axis=1, bitorder="little").view(np.uint16).ravel()
 
 
 def _centres(rep: int, level: int, path: int) -> np.ndarray:
