@@ -125,10 +125,10 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", long_to_ipv4(F.lit(BASE) + F.col("c_custkey")).alias("ip"))
 
 
-def prefix_entries(spark: SparkSession, sf_dir: str, step: int = 16) -> DataFrame:
-    """One prefix for each supplier, of 20 to 32 bits; host bits are left to the engine to clear."""
+def prefix_entries(spark: SparkSession, sf_dir: str, step: int = 16, least: int = 20) -> DataFrame:
+    """One prefix for each supplier, of ``least`` to 32 bits; host bits are left to the engine to clear."""
     s = table(spark, sf_dir, "supplier")
-    key = F.concat(long_to_ipv4(F.lit(BASE) + F.col("s_suppkey") * step), F.lit("/"), (F.lit(20) + F.col("s_suppkey") % 13).cast("string"))
+    key = F.concat(long_to_ipv4(F.lit(BASE) + F.col("s_suppkey") * step), F.lit("/"), (F.lit(least) + F.col("s_suppkey") % (33 - least)).cast("string"))
     return s.select(F.col("s_suppkey").alias("seq"), key.alias("key"), F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))).alias("data_json"))
 
 
@@ -139,9 +139,9 @@ def _dotted(n: str) -> str:
     return " || '.' || ".join(f"(({n} >> {s}) & 255)" for s in (24, 16, 8, 0))
 
 
-def _prefix_sql(step: int = 16) -> str:
+def _prefix_sql(step: int = 16, least: int = 20) -> str:
     return f"""
-p0 AS (SELECT s_suppkey AS seq, 20 + s_suppkey % 13 AS len, CAST({BASE} + s_suppkey * {step} AS BIGINT) AS a, {_PAYLOAD} AS data_json FROM supplier),
+p0 AS (SELECT s_suppkey AS seq, {least} + s_suppkey % {33 - least} AS len, CAST({BASE} + s_suppkey * {step} AS BIGINT) AS a, {_PAYLOAD} AS data_json FROM supplier),
 p AS (SELECT len, (a >> (32 - len)) << (32 - len) AS net, arg_max(data_json, seq) AS data_json FROM p0 GROUP BY 1, 2),
 c AS (SELECT c_custkey, CAST({BASE} + c_custkey AS BIGINT) AS ip FROM customer),
 h AS (SELECT c.c_custkey, c.ip, p.* FROM c JOIN p ON (c.ip >> (32 - p.len)) << (32 - p.len) = p.net),
@@ -219,11 +219,11 @@ FROM (SELECT c_custkey, n, CAST((({BASE} + c_custkey) >> (32 - n)) << (32 - n) A
 
 
 def lookup_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lk.found(addresses(spark, sf_dir), "ip", build(prefix_entries(spark, sf_dir))).select("c_custkey")
+    return lk.found(addresses(spark, sf_dir), "ip", build(prefix_entries(spark, sf_dir, least=28))).select("c_custkey")
 
 
 def lookup_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lk.not_found(addresses(spark, sf_dir), "ip", build(prefix_entries(spark, sf_dir))).select("c_custkey")
+    return lk.not_found(addresses(spark, sf_dir), "ip", build(prefix_entries(spark, sf_dir, least=28))).select("c_custkey")
 
 
 # ---- strings and globs
@@ -608,8 +608,8 @@ QUERIES = {
     "lpm_default_route": (lpm_default_route, _DEFAULT_SQL),
     "lpm_ipv6": (lpm_ipv6, _V6_SQL),
     "cidr_format": (cidr_format, _CIDR_SQL),
-    "lookup_semi": (lookup_semi, f"WITH {_prefix_sql()} SELECT c_custkey FROM best"),
-    "lookup_anti": (lookup_anti, f"WITH {_prefix_sql()} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM best)"),
+    "lookup_semi": (lookup_semi, f"WITH {_prefix_sql(least=28)} SELECT c_custkey FROM best"),
+    "lookup_anti": (lookup_anti, f"WITH {_prefix_sql(least=28)} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM best)"),
     "literal_exact": (_literal(False, False), _literal_sql(False, False)),
     "literal_ci": (_literal(True, True), _literal_sql(True, True)),
     **{k: (_glob(p), _glob_sql(p, t, like=True)) for k, (p, t) in GLOBS.items()},

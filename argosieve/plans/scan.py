@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argosieve.operators.extract import TYPES, extract
 from argosieve.operators.lookup import lookup_many
 from argosieve.plans.indicators import IndicatorSet
+from argosieve.plans.shared import materialize
 
 
 def types_for(isets: list[IndicatorSet]) -> tuple[str, ...]:
@@ -17,18 +20,23 @@ def types_for(isets: list[IndicatorSet]) -> tuple[str, ...]:
     return tuple(t for t in TYPES if (t in ("IPv4", "IPv6") and ip) or (t not in ("IPv4", "IPv6") and text))
 
 
-def scan(df: DataFrame, text_col: str, isets: list[IndicatorSet], types: tuple[str, ...] | None = None, min_labels: int = 2) -> DataFrame:
-    """A row for each item and set that match: the columns of ``df`` but the text, item_type, matched_text, database_id,
-    match_type, prefix_len, cidr, pattern_count, data. Each distinct item is looked up once."""
-    types = types_for(isets) if types is None else types
-    if not types:
-        types = ("IPv4",)
-    items = extract(df, text_col, types, min_labels)
+def match_items(items: DataFrame, isets: list[IndicatorSet]) -> DataFrame:
+    """Items (item_type, raw, value and what else they have) with every set's match; each distinct one is looked up once."""
     hits = lookup_many(items, "value", isets)
     keep = [c for c in items.columns if c not in ("raw", "value")]
     return items.join(hits, items["value"] == hits["text"]).select(*[items[c] for c in keep], F.col("text").alias("matched_text"), "database_id", "match_type", "prefix_len", "cidr", "pattern_count", "data")
 
 
+def scan(df: DataFrame, text_col: str, isets: list[IndicatorSet], types: tuple[str, ...] | None = None, min_labels: int = 2, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+    """A row for each item and set that match: the columns of ``df`` but the text, item_type, matched_text, database_id,
+    match_type, prefix_len, cidr, pattern_count, data.
+
+    The text is read once: its items, which are small beside it, are written by ``keep`` before they are looked up.
+    """
+    types = types_for(isets) if types is None else types
+    return match_items(keep(extract(df, text_col, types or ("IPv4",), min_labels), "items"), isets)
+
+
 def to_ndjson(matches: DataFrame, source: str | None = None, timestamp: str = "0.000") -> DataFrame:
     """Matches as lines of JSON. A pattern's payloads are an array, left out if it is empty; an address has one object."""
     where = F.col(source) if source else F.lit("-")
@@ -43,9 +51,8 @@ def items_json(items: DataFrame) -> DataFrame:
 
 def scan_stats(df: DataFrame, text_col: str, isets: list[IndicatorSet], id_col: str) -> DataFrame:
     """One row about a scan: lines, bytes, candidates, matches, lines_with_matches and match_rate."""
-    types = types_for(isets) or ("IPv4",)
-    items = extract(df, text_col, types)
-    matches = scan(df, text_col, isets)
+    items = materialize(extract(df.select(id_col, text_col), text_col, types_for(isets) or ("IPv4",)), "items")
+    matches = match_items(items, isets)
     a = df.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0)).alias("bytes"))
     b = items.agg(F.count(F.lit(1)).alias("candidates"))
     c = matches.agg(F.count(F.lit(1)).alias("matches"), F.countDistinct(id_col).alias("lines_with_matches"))

@@ -53,7 +53,17 @@ def follow(lines: DataFrame, sets: list[IndicatorSet | Reloading], sink: Callabl
 
     def batch(df: DataFrame, number: int) -> None:
         now = [s.get() if isinstance(s, Reloading) else s for s in sets]
-        sink(scan(df, text_col, now), number)
+        held: list[DataFrame] = []
+
+        def keep(items: DataFrame, _: str) -> DataFrame:
+            held.append(items.persist())
+            return held[-1]
+
+        try:
+            sink(scan(df, text_col, now, keep=keep), number)
+        finally:
+            for items in held:
+                items.unpersist()
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
