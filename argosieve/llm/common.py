@@ -70,3 +70,12 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of text in the whole table."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("bigint")), F.lit(0)).alias("n")).first()["n"])
+
+
+def hash_sample(df: DataFrame, key: F.Column, limit: int) -> DataFrame:
+    """The rows of the ``limit`` smallest values of ``key`` (a bigint), more where values are equal at the end.
+
+    The driver sees that many numbers of each partition, never rows.
+    """
+    cut = df.select(key.alias("h")).orderBy("h").limit(limit).agg(F.max("h").alias("h")).first()["h"]
+    return df.filter(F.lit(False)) if cut is None else df.filter(key <= F.lit(cut))

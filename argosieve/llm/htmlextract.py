@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from argosieve.llm.common import read_table, text_column, text_slices
+from argosieve.llm.common import hash_sample, read_table, text_column, text_slices
 
 #: Labelled pages that the model is fitted on at most (a seeded hash sample if there are more).
 MAX_LABELLED = 2_000
@@ -202,7 +202,9 @@ def page_text(page: Page, content: np.ndarray) -> str:
 
 def train(pages: DataFrame, html_col: str = "html", max_labelled: int = MAX_LABELLED) -> TreeModel:
     """Fits the model to pages that label their own content: those that mark it as article or main."""
-    rows = pages.filter(F.lower(html_col).rlike("<(article|main)\\b")).select(F.col(html_col).alias("h")).orderBy(F.xxhash64(F.lit(3), "h"), "h").limit(max_labelled).collect()
+    marked = pages.select(pages[html_col].alias("h")).filter(F.col("h").rlike("(?i)<(article|main)\\b"))
+    key = F.xxhash64(F.lit(3), F.col("h"))
+    rows = hash_sample(marked, key, max_labelled).orderBy(key, "h").limit(max_labelled).collect()
     parsed = [p for p in (parse(r["h"]) for r in rows) if p.parent]
     forest = Forest(parsed)
     labels = forest.marked.astype(np.int64)
