@@ -18,6 +18,7 @@ from argosieve.plans.scan import items_json, scan, scan_stats, to_ndjson
 from argosieve.sources.feeds import concat_feeds, load_feed
 from argosieve.sources.logs import log_lines
 from argosieve.sources.mmdb import mmdb_feed
+from argosieve.streaming.follow import Reloading, follow, tail
 
 
 def session() -> SparkSession:
@@ -35,6 +36,28 @@ def open_set(spark: SparkSession, path: str) -> IndicatorSet:
     return IndicatorSet.load(spark, path)
 
 
+def read_logs(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Lines of files, or of standard input for ``-``."""
+    if files != ["-"]:
+        return log_lines(spark, files)
+    lines = [("-", x.strip()) for x in sys.stdin.buffer.read().decode("utf-8", "replace").split("\n")]
+    return spark.createDataFrame([x for x in lines if x[1]], "source string, text string")
+
+
+def follow_logs(spark: SparkSession, pattern: str, sets: list, checkpoint: str) -> None:
+    """Prints the matches of lines as they come, until it is stopped; saved sets are reloaded when they change."""
+
+    def show(matches: DataFrame, _: int) -> None:
+        for r in to_ndjson(matches, "source", time.strftime("%s.000")).toLocalIterator():
+            print(r[0], flush=True)
+
+    query = follow(tail(spark, pattern), sets, show, checkpoint)
+    try:
+        query.awaitTermination()
+    except KeyboardInterrupt:
+        query.stop()
+
+
 def emit(df: DataFrame, out: str | None, kind: str = "text") -> None:
     """Rows into a folder, or line by line to standard output."""
     if out:
@@ -87,6 +110,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("database")
     m.add_argument("files", nargs="+")
     m.add_argument("--extractors")
+    m.add_argument("--follow", metavar="CHECKPOINT", help="go on with what is appended; the folder keeps the places")
     m.add_argument("--format", choices=("json", "summary"), default="json")
     m.add_argument("-o", "--output")
     q = sub.add_parser("query", help="one text")
@@ -114,10 +138,16 @@ def main(argv: list[str] | None = None) -> int:
         iset = build(concat_feeds(feeds), a.output, a.case_insensitive, a.schema, {a.desc_lang: a.description} if a.description else None, a.database_type)
         print(json.dumps({"version": iset.save(a.output), **iset.meta["counts"]}))
     elif a.command == "extract":
-        items = extract(log_lines(spark, a.files), "text", choose(a.types), a.min_labels)
+        items = extract(read_logs(spark, a.files), "text", choose(a.types), a.min_labels)
+        if a.format == "csv" and not a.output:
+            print("type,value")
         emit(items_text(unique(items).withColumnRenamed("raw", "value") if a.unique else items, a.format), a.output)
     elif a.command == "match":
-        sets, lines = [open_set(spark, a.database)], log_lines(spark, a.files)
+        if a.follow:
+            saved = not a.database.endswith((".mmdb", ".json", ".csv", ".txt"))
+            follow_logs(spark, a.files[0], [Reloading(spark, a.database) if saved else open_set(spark, a.database)], a.follow)
+            return 0
+        sets, lines = [open_set(spark, a.database)], read_logs(spark, a.files)
         if a.format == "summary":
             emit(scan_stats(lines.withColumn("line", F.monotonically_increasing_id()), "text", sets, "line").select(F.to_json(F.struct("*"))), a.output)
         else:

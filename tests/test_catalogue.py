@@ -51,3 +51,17 @@ def test_no_broadcast_is_forced(spark, tiny):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "NestedLoop" not in plan
+
+
+def test_extraction_is_one_narrow_scan(spark, tiny):
+    """Two columns are read, nothing is shuffled, and no Python runs for types without checksums."""
+    plan = catalogue.QUERIES["extract_all_counts"][0](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<text:string>" in plan and "Python" not in plan and plan.count("Scan parquet") == 1
+    plan = catalogue.QUERIES["extract_email_documents"][0](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_globs_with_literals_never_meet_every_text(spark, tiny):
+    for name in ("glob_suffix", "glob_prefix", "glob_contains", "glob_ci"):
+        plan = catalogue.QUERIES[name][0](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name

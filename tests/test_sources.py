@@ -1,6 +1,7 @@
 """Feeds, logs, binary databases, saved sets, streams and the command line."""
 
 import gzip
+import io
 import json
 import os
 
@@ -146,7 +147,7 @@ def test_following_a_growing_file(spark, tmp_path):
     assert len(out) == 4
 
 
-def test_command_line(spark, feeds, capsys):
+def test_command_line(spark, feeds, capsys, monkeypatch):
     db = str(feeds / "db")
     assert cli.main(["build", str(feeds / "b.csv"), str(feeds / "a.txt"), "-o", db, "-d", "test"]) == 0
     assert cli.main(["query", db, "x.malware.com"]) == 0 and cli.main(["query", "-q", db, "nothing.org"]) == 1
@@ -157,7 +158,10 @@ def test_command_line(spark, feeds, capsys):
     assert cli.main(["match", db, str(feeds / "log.txt"), "--format", "summary"]) == 0
     assert json.loads(capsys.readouterr().out)["lines_with_matches"] == 2
     assert cli.main(["extract", str(feeds / "log.txt"), "--types", "ip4", "--format", "csv"]) == 0
-    assert capsys.readouterr().out.strip() == 'ipv4,"192.168.1.50"'
+    assert capsys.readouterr().out.split() == ["type,value", 'ipv4,"192.168.1.50"']
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"x 10.9.8.7 y\n\n")))
+    assert cli.main(["extract", "-", "--types", "ip4", "--format", "text", "--unique"]) == 0
+    assert capsys.readouterr().out.split() == ["10.9.8.7"]
     assert cli.main(["inspect", db]) == 0 and cli.main(["validate", db]) == 0
     assert cli.main(["bench", "combined", "--count", "50", "--queries", "100", "--hit-rate", "1"]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["found"] == 100
