@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from argosieve.llm.common import read_table, text_column, text_slices
+from argosieve.llm.common import materialize, read_table, text_column, text_slices
 
 #: Labelled rows that the word weights are fitted on at most (a seeded hash sample if there are more).
 MAX_LABELLED = 20_000
-#: A word tells of toxicity if this share of the labelled documents that hold it is toxic,
-PRECISION = 0.95
-#: it follows this many different words in toxic documents, and this share of them holds it.
-MIN_CONTEXTS, MIN_SHARE = 4, 0.002
-#: The same for the first letters of words.
-STEM_LENGTHS, STEM_PRECISION, STEM_SHARE = (4, 5, 6), 0.99, 0.01
+#: A word, or the first letters of words, tell of toxicity if they are this many times as frequent in toxic texts as in others,
+#: in this many times as large a share of the texts,
+RATIO, TEXT_RATIO = 10.0, 3.0
+#: and if they stand between this many different pairs of words there, and in this share of the toxic texts.
+MIN_CONTEXTS, MIN_SHARE = 3, 0.02
+STEM_LENGTHS = (4, 5, 6)
+#: A word is sure, and decides alone, if this share of the texts that hold it is toxic; of others it takes this many.
+SURE, MIN_HITS = 0.98, 2
 #: From this chance on a document is toxic.
 THRESHOLD = 0.5
 
@@ -33,10 +39,12 @@ CHANNEL = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou", "%": "aeiou", "&": "aeiou",
 }
-_DISGUISE, _DROP, _SHORTEN = 1.0, 1.5, 1.0
+_DISGUISE, _DROP, _SHORTEN, _MASK, _WORD = 1.0, 1.5, 1.0, 3.3, 6.0
+_MASKS = "*#%&"
+_LOOKALIKES = str.maketrans("οоеасрхуіѕԁαεικνρτυ", "ooeacpxyisdaeiknptu")
 _MARKS = ".,;:?\"'`()[]{}<>«»“”„…-–—_=/\\~^"
 _RUN_END = re.compile(r"^([!@#$%&*+|])\1+|([!@#$%&*+|])\2+$")
-_REPEAT = re.compile(r"(.)\1\1")
+_REPEAT, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|+*])(?:[ .\-_*]+(?:[^\W\d_]|[0-9@$!|+*])){3,}(?!\S)")
 
 
@@ -96,76 +104,100 @@ def smooth(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of disguised words."""
+    """Viterbi decoding of disguised words, as letters under the letter model or as a word that is looked for.
 
-    def __init__(self, costs: np.ndarray, words: dict[str, float]):
-        """``words`` are those that are looked for; the letter model is told that they are words, too."""
-        self.costs, self.known = costs, {}
-        boost = np.zeros(BASE**ORDER)
-        for w in words:
-            for k in self._grams(w):
-                boost[k] = 1
-        self.word_gram = boost > 0
+    A word that is looked for costs ``_WORD`` besides its disguise, however long it is; its letters cost nothing.
+    """
 
-    @staticmethod
-    def _grams(word: str) -> list[int]:
-        code = [0, 0, 0, *(_CODE.get(c, _OTHER) for c in word), 0]
-        return [((code[i] * BASE + code[i + 1]) * BASE + code[i + 2]) * BASE + code[i + 3] for i in range(len(code) - 3)]
+    def __init__(self, costs: np.ndarray, words: list[str]):
+        self.costs, self.known = costs, {}
+        self.words = frozenset(w for w in words if len(w) > 3)
+        self.heads = frozenset(w[:k] for w in self.words for k in range(len(w) + 1))
+        self.next: dict[str, list[str]] = defaultdict(list)
+        for h in self.heads:
+            if h:
+                self.next[h[:-1]].append(h)
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each place, the letters that it may stand for and their costs; '' drops it."""
+        """For each place, the letters that it may stand for and their costs; '' drops it, '?' is any letter."""
         out, i = [], 0
         while i < len(token):
             c = token[i]
             j = i
             while j < len(token) and token[j] == c:
                 j += 1
-            run = j - i
             if c.isalpha():
                 one = [(c, 0.0)]
             elif c in CHANNEL:
-                one = [(x, _DISGUISE) for x in CHANNEL[c]] + [("", _DROP)]
+                one = [(x, _DISGUISE) for x in CHANNEL[c]] + [("", _DROP)] + ([("?", _MASK)] if c in _MASKS else [])
             else:
                 one = [("", 0.0)]
-            if run >= 2 and (run >= 3 or not c.isalpha()):
+            if j - i >= 3:
                 out.append(one)
                 out.append([(x, p) for x, p in one if x] + [("", _SHORTEN)])
+            elif j - i == 2:
+                out += [one, [*one, ("", _SHORTEN)]]
             else:
-                out.extend([one] * run)
+                out.append(one)
             i = j
         return out
 
     def decode(self, token: str) -> str:
-        """The likeliest reading of a word in lower case, under the channel's costs and the letter model."""
+        """The likeliest reading of a word in lower case."""
         word = self.known.get(token)
         if word is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
-            word = self.known[token] = self._viterbi(token)
+            places = self.lattice(token)
+            cost, word = self._letters(places)
+            cost_known, known = self._known(places)
+            if known and cost_known + _WORD <= cost:
+                word = known
+            self.known[token] = word
         return word
 
-    def _viterbi(self, token: str) -> str:
-        costs, known = self.costs, self.word_gram
+    def _letters(self, places: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        costs, mask = self.costs, BASE**3
         at: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        mask = BASE**3
-
-        def pay(key: int) -> float:
-            return min(float(costs[key]), 1.0) if known[key] else float(costs[key])
-
-        for place in self.lattice(token):
+        for place in places:
             new: dict[int, tuple[float, str]] = {}
             for context, (cost, word) in at.items():
                 for letter, price in place:
+                    if letter == "?":
+                        continue
                     if letter:
                         key = context * BASE + _CODE.get(letter, _OTHER)
-                        item = (cost + price + pay(key), word + letter)
+                        item = (cost + price + float(costs[key]), word + letter)
                         key %= mask
                     else:
                         item, key = (cost + price, word), context
                     if key not in new or item < new[key]:
                         new[key] = item
             at = new
-        return min((cost + pay(context * BASE), word) for context, (cost, word) in at.items())[1]
+        return min((cost + float(costs[context * BASE]), word) for context, (cost, word) in at.items())
+
+    def _known(self, places: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        at = {"": 0.0}
+        for place in places:
+            new: dict[str, float] = {}
+            for head, cost in at.items():
+                for letter, price in place:
+                    heads = self.next.get(head, ()) if letter == "?" else (head + letter,) if letter else (head,)
+                    for h in heads:
+                        if h in self.heads and cost + price < new.get(h, 1e9):
+                            new[h] = cost + price
+            at = new
+        return min(((cost, head) for head, cost in at.items() if head in self.words), default=(1e9, ""))
+
+    def lookalike(self, word: str) -> str:
+        """A word that is looked for, written with letters that look like its own; '' if there is none."""
+        plain = "".join(c for c in unicodedata.normalize("NFKD", word.translate(_LOOKALIKES)) if not unicodedata.combining(c))
+        return plain if plain in self.words else ""
+
+
+def _stretched(word: str) -> bool:
+    """Whether a letter comes three times in a row, or three are doubled."""
+    return bool(_REPEAT.search(word)) or len(_DOUBLE.findall(word)) > 2
 
 
 def _core(token: str) -> str:
@@ -178,94 +210,195 @@ def _core(token: str) -> str:
 
 
 class TokenReader(dict):
-    """The words that a token may be: itself, and its restored reading if it looks disguised. Let go when it has grown large."""
+    """The words that a token may be: itself, and its restored readings if it looks disguised. Let go when it has grown large."""
 
     def __init__(self, restorer: Restorer | None):
         super().__init__()
         self.restorer = restorer
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
+        self[token] = words = self.read(token)
+        return words
+
+    def read(self, token: str) -> tuple[str, ...]:
         low = token.lower()
-        if low.isalpha() and not _REPEAT.search(low):
+        if low.isalpha() and not _stretched(low):
             words = (low,)
         else:
             core = _core(low)
-            if core.isalpha() and not _REPEAT.search(core):
+            if core.isalpha() and not _stretched(core):
                 words = (core,)
             elif not any(c.isalpha() or c in CHANNEL for c in core):
                 words = ()
             else:
                 parts = tuple(p for p in re.split(r"[^\w@$!|+*#%&€£]+", core) if p.isalpha())
-                words = (*parts, self.restorer.decode(core.rstrip("!")), self.restorer.decode(core)) if self.restorer else parts
-        self[token] = words = tuple(dict.fromkeys(w for w in words if w))
-        return words
+                whole = low.strip(_MARKS).rstrip("!").strip(_MARKS)
+                words = (*parts, *(self.restorer.decode(x) for x in dict.fromkeys((core.rstrip("!"), core, whole)))) if self.restorer else parts
+        if self.restorer and words and not words[0].isascii():
+            words = (*words, self.restorer.lookalike(words[0]))
+        return tuple(dict.fromkeys(w for w in words if w))
 
 
-def read_words(text: str, reader: TokenReader) -> set[str]:
-    """The distinct words of a text, with the restored readings of its disguised ones, and of letters that stand apart."""
-    words = set()
-    for w in set(map(reader.__getitem__, set(text.split()))):
-        words.update(w)
-    if reader.restorer:
-        for m in _SPACED.finditer(text):
-            joined = re.sub(r"[ .\-_]+", "", m.group(0)).lower()
-            words.add("\0" + reader.restorer.decode(joined))
-    return words
-
-
-def fit_words(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Chances of toxicity of the words (and of first letters, written with a ``*`` after them) that tell of it."""
-    rows = list(dict.fromkeys(rows))
-    reader, toxic, clean = TokenReader(None), Counter(), Counter()
-    before: dict[str, set[str]] = defaultdict(set)
-    n_toxic = sum(1 for _, y in rows if y)
-    for text, y in rows:
-        last, found = "", set()
-        for token in text.split():
-            for w in reader[token]:
-                found.add(w)
-                if y:
-                    before[w].add(last)
-                for k in STEM_LENGTHS:
-                    if len(w) > k:
-                        found.add(w[:k] + "*")
-                        if y:
-                            before[w[:k] + "*"].add(last)
-                last = w
-        (toxic if y else clean).update(found)
-    out = {}
-    for w, n in toxic.items():
-        share, precision = (STEM_SHARE, STEM_PRECISION) if w[-1] == "*" else (MIN_SHARE, PRECISION)
-        if len(w) > 2 and len(before[w]) >= max(MIN_CONTEXTS, share * n_toxic) and n / (n + clean[w]) >= precision:
-            out[w] = n / (n + clean[w] + 1.0)
+def _variants(words: tuple[str, ...]):
+    """The words and their first letters, written with a ``*`` after them."""
+    for w in words:
+        yield w
+        for k in STEM_LENGTHS:
+            if len(w) > k:
+                yield w[:k] + "*"
+
+
+def _counts(batches):
+    """For words and first letters: how many texts hold them, how often, and hashes of the pairs of words that they stand between."""
+    reader, n, often, between = TokenReader(None), Counter(), Counter(), defaultdict(set)
+    for batch in batches:
+        for text in text_column(batch, "t"):
+            rows = [w for w in map(reader.__getitem__, text.split()) if w]
+            found = Counter()
+            for k, words in enumerate(rows):
+                pair = (rows[k - 1][-1] if k else "") + " " + (rows[k + 1][0] if k + 1 < len(rows) else "")
+                place = xxhash.xxh32_intdigest(pair.encode("utf-8", "surrogatepass")) >> 1
+                for w in _variants(words):
+                    found[w] += 1
+                    between[w].add(place)
+            n.update(found.keys())
+            often.update(found)
+    words = list(n)
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (n, often)), pa.array([sorted(between[w]) for w in words], pa.list_(pa.int32()))], ["w", "n", "often", "between"])
+
+
+@dataclass
+class Evidence:
+    """What was learned from labelled texts: chances of sure words, all telling words and first letters, the share of such words
+    in a toxic text that has some and in all other texts, and the share of toxic texts."""
+
+    sure: dict[str, float] = field(default_factory=dict)
+    telling: frozenset = frozenset()
+    toxic_rate: float = 0.02
+    clean_rate: float = 0.0002
+    share: float = 0.1
+
+    def words(self) -> list[str]:
+        return [w for w in {*self.sure, *self.telling} if w[-1] != "*"]
+
+
+def fit_words(rows: DataFrame) -> Evidence:
+    """Learns from labelled texts (t, y); equal ones count once, and near copies as often as they differ around a word.
+
+    The executors count; the driver gets the words that may tell. Without toxic texts nothing tells.
+    """
+    rows = materialize(rows.filter("t IS NOT NULL").dropDuplicates(["t", "y"]), "toxicity-labelled")
+    size = F.size(F.split(F.trim("t"), "\\s+"))
+    totals = {r["y"]: (r["n"], r["tokens"]) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("tokens")).collect()}
+    (n_toxic, toxic_tokens), (n_clean, clean_tokens) = totals.get(1, (0, 0)), totals.get(0, (0, 0))
+    if not n_toxic:
+        return Evidence()
+    spread = rows.filter("y = 1").select("t").mapInArrow(_counts, "w string, n bigint, often bigint, between array<int>")
+    seen = spread.groupBy("w").agg(F.sum("n").alias("n"), F.sum("often").alias("often"), F.size(F.array_distinct(F.flatten(F.collect_list("between")))).alias("kinds"))
+    seen = seen.select("w", F.least("n", "kinds").alias("n"), "often").filter((F.length("w") > 2) & (F.col("n") >= max(MIN_CONTEXTS, MIN_SHARE * n_toxic)))
+    may = {r["w"]: (r["n"], r["often"]) for r in seen.collect()}
+    asked = rows.sparkSession.sparkContext.broadcast(frozenset(may))
+
+    def clean_counts(batches):
+        reader, n, often, wanted = TokenReader(None), Counter(), Counter(), asked.value
+        for batch in batches:
+            for text in text_column(batch, "t"):
+                found = Counter()
+                for token, k in Counter(text.split()).items():
+                    for w in _variants(reader[token]):
+                        if w in wanted:
+                            found[w] += k
+                n.update(found.keys())
+                often.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([often[w] for w in n], pa.int64())], ["w", "n", "often"])
+
+    counted = rows.filter("y = 0").select("t").mapInArrow(clean_counts, "w string, n bigint, often bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("often").alias("often"))
+    clean = {r["w"]: (r["n"], r["often"]) for r in counted.collect()}
+    out = Evidence(share=min(0.9, n_toxic / (n_toxic + n_clean)))
+    for w, (n, often) in may.items():
+        other, other_often = clean.get(w, (0, 0))
+        if often / toxic_tokens >= RATIO * (other_often + 0.5) / max(1, clean_tokens) and n / n_toxic >= TEXT_RATIO * (other + 0.5) / max(1, n_clean):
+            out.telling |= {w}
+            p = n / (n + other + 1.0)
+            if w[-1] != "*" and p >= SURE:
+                out.sure[w] = p
+    told = rows.sparkSession.sparkContext.broadcast(out)
+
+    def hits(batches):
+        scorer, n, rates = TokenScorer(TokenReader(None), told.value), Counter(), []
+        for batch in batches:
+            for t, y in zip(text_column(batch, "t"), batch.column(1).to_pylist()):
+                tokens = t.split()
+                k = sum(c for token, c in Counter(tokens).items() if scorer[token] is not None)
+                if y and k:
+                    rates.append(k / len(tokens))
+                elif not y:
+                    n["clean"] += k
+        yield pa.RecordBatch.from_arrays([pa.array([n["clean"]], pa.int64()), pa.array([len(rates)], pa.int64()), pa.array([sum(rates)], pa.float64())], ["clean", "n", "rates"])
+
+    got = rows.select("t", "y").mapInArrow(hits, "clean bigint, n bigint, rates double").agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"), F.sum("rates").alias("rates")).first()
+    if got["n"]:
+        out.toxic_rate = got["rates"] / got["n"]
+    out.clean_rate = min(out.toxic_rate / RATIO, (got["clean"] + 1) / (clean_tokens + 1))
     return out
 
 
-def score(words: set[str], weights: dict[str, float]) -> float:
-    """One minus the chance that none of the telling words that the text holds is meant so."""
+class TokenScorer(dict):
+    """The sure word in a token's readings ('' if it is only telling), None for others. Let go when it has grown large."""
+
+    def __init__(self, reader: TokenReader, evidence: Evidence):
+        super().__init__()
+        self.reader, self.evidence = reader, evidence
+
+    def __missing__(self, token: str) -> str | None:
+        if len(self) > 300_000:
+            self.clear()
+        e, found = self.evidence, None
+        for w in self.reader.read(token):
+            if w in e.sure:
+                found = w
+                break
+            if w in e.telling or any(w[:k] + "*" in e.telling for k in STEM_LENGTHS if len(w) > k):
+                found = ""
+        self[token] = found
+        return found
+
+
+def score(text: str, scorer: TokenScorer) -> float:
+    """The chance that a text is toxic, from all its tokens with their restored readings, and from letters that stand apart.
+
+    Sure words decide alone. Of telling ones, as many must come as toxic texts of that length have rather than others: the
+    two counts are taken as Poisson.
+    """
+    e, sure, hits, tokens = scorer.evidence, set(), 0, text.split()
+    for token, k in Counter(tokens).items():
+        found = scorer[token]
+        if found is not None:
+            hits += k
+            if found:
+                sure.add(found)
+    if scorer.reader.restorer:
+        for m in _SPACED.finditer(text):
+            joined = scorer.reader.restorer.decode(re.sub(r"[ .\-_]+", "", m.group(0)).lower())
+            found = [w for w in e.words() if len(w) > 3 and w in joined]
+            hits += bool(found)
+            sure.update(w for w in found if w in e.sure)
     rest = 1.0
-    for w in words:
-        if w[:1] == "\0":
-            joined = w[1:]
-            hits = [p for x, p in weights.items() if x[-1] != "*" and len(x) > 3 and x in joined]
-            rest *= 1 - max(hits, default=0.0)
-            continue
-        p = weights.get(w, 0.0)
-        for k in STEM_LENGTHS:
-            if len(w) > k:
-                p = max(p, weights.get(w[:k] + "*", 0.0))
-        rest *= 1 - p
-    return 1 - rest
+    for w in sure:
+        rest *= 1 - e.sure[w]
+    if hits < MIN_HITS:
+        return 1 - rest
+    odds = hits * math.log(e.toxic_rate / e.clean_rate) - len(tokens) * (e.toxic_rate - e.clean_rate) + math.log(e.share / (1 - e.share))
+    return max(1 - rest, 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> list[tuple[str, int]]:
-    """Texts with labels; the labels are broadcast, as ``limit`` bounds them. If there are more than ``limit``, those of the smallest seeded hashes of their ids."""
-    rows = labels.filter("toxic IS NOT NULL").select(labels["doc_id"].alias("i"), F.col("toxic").cast("int").alias("y")).distinct()
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """Texts with labels (t, y), of ``limit`` labelled rows at most: those of the smallest seeded hashes of their ids. They are broadcast, as ``limit`` bounds them."""
+    rows = labels.filter("toxic IS NOT NULL").select(labels["doc_id"].alias("i"), (F.col("toxic").cast("int") != 0).cast("int").alias("y")).distinct()
     rows = rows.orderBy(F.xxhash64(F.lit(5), "i"), "i", "y").limit(limit)
-    joined = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(rows), "i").select("t", "y")
-    return [(r["t"], r["y"]) for r in joined.collect()]
+    return docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(rows), "i").select("t", "y")
 
 
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
@@ -277,18 +410,18 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic labels every text has. Repeated rows get the same result. Columns named toxicity or is_toxic are replaced.
     """
     docs = docs.drop("toxicity", "is_toxic")
-    weights = fit_words(labelled(docs, labels, id_col, text_col, max_labelled))
-    tables = docs.sparkSession.sparkContext.broadcast((letter_model(docs, text_col), weights))
+    evidence = fit_words(labelled(docs, labels, id_col, text_col, max_labelled))
+    tables = docs.sparkSession.sparkContext.broadcast((letter_model(docs, text_col), evidence))
     names = docs.columns
     t = names.index(text_col)
     src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
 
     def run(batches):
-        costs, words = tables.value
-        reader = TokenReader(Restorer(costs, {w: p for w, p in words.items() if w[-1] != "*"}))
+        costs, told = tables.value
+        scorer = TokenScorer(TokenReader(Restorer(costs, told.words())), told)
         for batch in batches:
             for part in text_slices(batch, f"c{t}", 8_000_000):
-                s = [0.0 if x is None else score(read_words(x, reader), words) for x in text_column(part, f"c{t}")]
+                s = [0.0 if x is None else score(x, scorer) for x in text_column(part, f"c{t}")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array([x >= threshold for x in s], pa.bool_())], [*part.schema.names, "toxicity", "is_toxic"])
 
     kinds = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
