@@ -99,3 +99,21 @@ def test_pages(spark, html):
     assert len(got) == 4 and len({(r["text"], r["n_nodes"]) for r in got if r["page_id"] != 1}) == 1
     assert (got[1]["text"] is None) == (html is None)
     assert htmlextract.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages(spark, tiny, nasty, empty, stage):
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, nasty, tiny)
+    if stage < 4:
+        assert got.columns == nasty.columns and got.schema["doc_id"].dataType == nasty.schema["doc_id"].dataType
+    ids = Counter(r["doc_id"] for r in got.select("doc_id").collect())
+    want = Counter(r["doc_id"] for r in nasty.select("doc_id").collect())
+    gone = {"toxicity": set(), "line dedup": {2}, "near dedup": {2, 7}, "bpe": set()}
+    if name == "mixing":
+        assert not ids - want and 3 not in ids
+    else:
+        assert ids == Counter({k: v for k, v in want.items() if k not in gone[name]})
+    assert run(spark, empty, tiny).collect() == []

@@ -212,12 +212,12 @@ def test_mixing_against_a_numeric_inverse(spark):
 
 
 def test_toxicity_on_held_out_labels(spark, tiny):
-    folder = tiny.replace("sf0.001", "sf0.01")
+    folder = tiny.replace("sf0.001", "sf0.1")
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
-    half = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(3))
+    half = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(2))
     got = toxicity.detect(docs, labels.filter(half > 0)).join(labels.filter(half == 0), "doc_id").select("toxic", "is_toxic").collect()
     n = Counter((r["toxic"], r["is_toxic"]) for r in got)
-    assert n[(1, True)] >= 0.8 * (n[(1, True)] + n[(1, False)]) and n[(0, True)] <= 0.03 * (n[(0, True)] + n[(0, False)])
+    assert n[(1, True)] >= 0.9 * (n[(1, True)] + n[(1, False)]) and n[(0, True)] <= 0.01 * (n[(0, True)] + n[(0, False)])
 
 
 def restorer(spark, words):
@@ -225,7 +225,7 @@ def restorer(spark, words):
     return toxicity.Restorer(toxicity.letter_model(docs), words)
 
 
-@pytest.mark.parametrize("written", ["1d10t", "!diot", "id!ot", "iiidiot", "idiooot", "i.d.i.o.t", "id1ot"])
+@pytest.mark.parametrize("written", ["1d10t", "!diot", "id!ot", "iiidiot", "idiooot", "i.d.i.o.t", "id1ot", "i*iot", "iiddiioott", "ídiot", "ID10T!!", "i_d_i_o_t"])
 def test_disguised_words_are_restored(spark, written):
     told = toxicity.Evidence(sure={"idiot": 0.99}, telling=frozenset(["idiot"]))
     scorer = toxicity.TokenScorer(toxicity.TokenReader(restorer(spark, ["idiot", "stupid"])), told)
