@@ -18,7 +18,7 @@ from argosieve.llm.graph import components
 BITS = 256
 WORDS = BITS // 64
 #: Fingerprints that differ in this many bits at most are near.
-RADIUS = 40
+RADIUS = 44
 #: Coordinates of a strip, and the most of them that may differ from a list's centre.
 STRIP, WEIGHT = 16, 3
 #: Lists of a strip; and the expected size from which a list is compared pair by pair.
