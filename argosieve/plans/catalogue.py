@@ -20,8 +20,11 @@ from argosieve.operators.quality import threatdb_violations
 from argosieve.operators.values import flatten, format_bytes, format_number, format_rate, path_get
 from argosieve.plans.indicators import IndicatorSet, build, builder_stats
 from argosieve.plans.scan import items_json, scan, scan_stats, to_ndjson
+from argosieve.plans.shared import shared_dir
 from argosieve.sources import misp
 from argosieve.sources.feeds import canonical_json, coerce, concat_feeds, entries_from_table
+from argosieve.sources.mmdb import export_mmdb, read_mmdb
+from argosieve.streaming.follow import follow, tail
 
 BASE = 10 << 24
 HASH_TYPES = ("MD5", "SHA1", "SHA256", "SHA384", "SHA512")
@@ -581,6 +584,64 @@ def validate_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALIDATE_SQL = "SELECT 'warning' AS severity, 'payload_empty' AS code, 'glob entries without payload' AS message, count(*) AS n FROM supplier HAVING count(*) > 0"
 
 
+# ---- streams and files
+
+
+def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship as a stream over the files of documents; every batch's matches are written under its number."""
+    path, out = f"{sf_dir}/documents.parquet", shared_dir(spark, "stream-matches")
+    schema = spark.read.parquet(path).select("doc_id", "text").schema
+    source, at = spark.readStream.schema(schema), spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        lines = source.option("pathGlobFilter", at.getName()).parquet(str(at.getParent().toString()))
+    else:
+        lines = source.parquet(path)
+
+    def sink(matches: DataFrame, number: int) -> None:
+        flat = matches.select("doc_id", "matched_text", F.col("prefix_len").cast("bigint").alias("prefix_len"), "cidr", F.element_at("data", 1).alias("data_json"))
+        flat.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    follow(lines, [document_set(spark)], sink, shared_dir(spark, "stream-places"), available_now=True).awaitTermination()
+    kind = "doc_id bigint, matched_text string, prefix_len bigint, cidr string, data_json string"
+    return spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(out)
+
+
+def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files that are written and then followed as a stream of lines."""
+    logs, out = shared_dir(spark, "tail-logs"), shared_dir(spark, "tail-lines")
+    _log(spark, sf_dir).select("line").write.text(logs)
+    query = tail(spark, f"{logs}/part-*", 1 << 20).writeStream.option("checkpointLocation", shared_dir(spark, "tail-places")).format("parquet").start(out)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema("source string, text string").parquet(out).select(F.col("text").alias("line"))
+
+
+_TAIL_SQL = f"SELECT 'from ' || {_dotted(f'CAST({BASE} + c_custkey AS BIGINT)')} || ' to h' || (c_custkey % 50) || '.example.com: ok' AS line FROM customer"
+
+
+def binary_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of prefixes, exported as a binary database and read back by the data source."""
+    key = F.concat(long_to_ipv4(F.lit(BASE) + F.col("s_suppkey") * 16), F.lit("/28"))
+    entries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), key.alias("key"), F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))).alias("data_json"))
+    path = shared_dir(spark, "database") + ".mmdb"
+    export_mmdb(build(entries), path)
+    return read_mmdb(spark, path).select("network", F.col("prefix_len").cast("bigint").alias("prefix_len"), "data_json")
+
+
+_BINARY_SQL = f"SELECT {_dotted(f'CAST({BASE} + s_suppkey * 16 AS BIGINT)')} || '/28' AS network, 28 AS prefix_len, {_PAYLOAD} AS data_json FROM supplier"
+
+
+def saved_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups in a set that was saved and loaded again."""
+    path = shared_dir(spark, "set")
+    build(prefix_entries(spark, sf_dir)).save(path)
+    ips = addresses(spark, sf_dir)
+    hits = lk.lookup_ip(ips, "ip", IndicatorSet.load(spark, path))
+    return ips.join(hits, ips["ip"] == hits["text"]).select("c_custkey", "ip", F.col("matched_prefix_len").cast("bigint").alias("matched_prefix_len"), "network", "data_json")
+
+
 def bench_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "customer").count()
     return synthetic(spark, "ip", n).select("seq", "key")
@@ -638,6 +699,10 @@ QUERIES = {
     "inspect_set": (inspect_set, _INSPECT_SQL),
     "validate_set": (validate_set, _VALIDATE_SQL),
     "bench_ips": (bench_ips, _BENCH_SQL),
+    "stream_scan": (stream_scan, _SCAN_DOCS_SQL),
+    "tail_lines": (tail_lines, _TAIL_SQL),
+    "binary_database": (binary_database, _BINARY_SQL),
+    "saved_set": (saved_set, _LPM_SQL),
 }
 
 

@@ -5,22 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet under ``spark.checkpoint.dir`` and reads it back: lost executors lose nothing of it.
-
-    Only where that is unset, as in tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A new name under ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="argosieve-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lost executors lose nothing of it."""
+    path, schema = shared_dir(df.sparkSession, tag), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
