@@ -49,7 +49,7 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|+*])(?:[ .\-_*]+(?:[^\W\d_]|[0
 
 
 def _code_table() -> np.ndarray:
-    table = np.zeros(0x250, np.int64)
+    table = np.zeros(0x250, np.int32)
     for i in range(0x250):
         c = chr(i)
         if c.isalpha():
@@ -60,9 +60,9 @@ def _code_table() -> np.ndarray:
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the four-letter grams of the texts; everything but letters is one border sign."""
     raw = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where(raw < 0x250, _code_table()[np.minimum(raw, 0x24F)], np.where(raw < 0x2000, _OTHER, 0))
+    code = np.where(raw < 0x250, _code_table()[np.minimum(raw, 0x24F)], np.where(raw < 0x2000, np.int32(_OTHER), np.int32(0)))
     code = code[np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])]
-    code = np.concatenate([[0, 0], code]) if len(code) else np.zeros(4, np.int64)
+    code = np.concatenate([np.zeros(2, np.int32), code]) if len(code) else np.zeros(4, np.int32)
     key = ((code[:-3] * BASE + code[1:-2]) * BASE + code[2:-1]) * BASE + code[3:]
     n = np.bincount(key, minlength=0)
     at = np.flatnonzero(n)
@@ -79,7 +79,7 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         total = np.zeros(BASE**ORDER, np.int64)
         for batch in batches:
-            for part in text_slices(batch, "t", 4_000_000):
+            for part in text_slices(batch, "t", 1_000_000):
                 at, n = gram_counts(text_column(part, "t"))
                 total[at] += n
         at = np.flatnonzero(total)
@@ -353,7 +353,7 @@ class TokenScorer(dict):
         self.reader, self.evidence = reader, evidence
 
     def __missing__(self, token: str) -> str | None:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         e, found = self.evidence, None
         for w in self.reader.read(token):
@@ -420,7 +420,7 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         costs, told = tables.value
         scorer = TokenScorer(TokenReader(Restorer(costs, told.words())), told)
         for batch in batches:
-            for part in text_slices(batch, f"c{t}", 8_000_000):
+            for part in text_slices(batch, f"c{t}", 4_000_000):
                 s = [0.0 if x is None else score(x, scorer) for x in text_column(part, f"c{t}")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array([x >= threshold for x in s], pa.bool_())], [*part.schema.names, "toxicity", "is_toxic"])
 
