@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,19 +53,21 @@ def parse_ipv6(text: str | None) -> dict | None:
 
 @F.pandas_udf(PARTS)
 def ipv6_parts(s: pd.Series) -> pd.DataFrame:
-    rows = [parse_ipv6(x) or {"hi": None, "lo": None, "text": None} for x in s]
-    return pd.DataFrame(rows, columns=["hi", "lo", "text"]).astype({"hi": "Int64", "lo": "Int64"})
+    hi, lo, gone, text = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), np.ones(len(s), bool), np.full(len(s), None, object)
+    for i in np.flatnonzero(s.notna().to_numpy()):
+        found = parse_ipv6(s.iat[i])
+        if found:
+            hi[i], lo[i], text[i], gone[i] = found["hi"], found["lo"], found["text"], False
+    whole = pd.arrays.IntegerArray
+    return pd.DataFrame({"hi": whole(hi, gone), "lo": whole(lo, gone.copy()), "text": text})
 
 
 @F.pandas_udf(T.StringType())
 def ipv6_text(hi: pd.Series, lo: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(hi, lo):
-        if pd.isna(a):
-            out.append(None)
-            continue
-        v = ipaddress.IPv6Address((int(a) & (1 << 64) - 1) << 64 | int(b) & (1 << 64) - 1)
-        out.append(f"::ffff:{v.ipv4_mapped}" if v.ipv4_mapped else str(v))
+    out, mask = np.full(len(hi), None, object), (1 << 64) - 1
+    for i in np.flatnonzero(hi.notna().to_numpy()):
+        v = ipaddress.IPv6Address((int(hi.iat[i]) & mask) << 64 | int(lo.iat[i]) & mask)
+        out[i] = f"::ffff:{v.ipv4_mapped}" if v.ipv4_mapped else str(v)
     return pd.Series(out, dtype=object)
 
 
@@ -110,9 +113,11 @@ def parse_prefix(c: Column) -> Column:
     return F.when(ok, F.struct(mask_hi(a["hi"], plen).alias("hi"), mask_lo(a["lo"], plen).alias("lo"), plen.cast("int").alias("plen"), a["v6"].alias("v6")))
 
 
-def network_text(hi: Column, lo: Column, plen: Column, v6: Column) -> Column:
+def network_text(hi: Column, lo: Column, plen: Column, v6: Column, may_be_v6: bool = True) -> Column:
     """CIDR text of a masked prefix, with the length in its family's bits."""
     four = F.concat(long_to_ipv4(lo), F.lit("/"), (plen - 96).cast("string"))
+    if not may_be_v6:
+        return four
     six = F.concat(ipv6_text(F.when(v6, hi), F.when(v6, lo)), F.lit("/"), plen.cast("string"))
     return F.when(v6, six).otherwise(four)
 

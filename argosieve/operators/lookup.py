@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argosieve.functions.globs import ascii_lower
-from argosieve.functions.ip import address, is_ipv4, looks_ipv6, mask_hi, mask_lo, network_text
+from argosieve.functions.ip import address, ipv4_to_long, ipv6_parts, is_ipv4, looks_ipv6, mask_hi, mask_lo, network_text
 from argosieve.plans.indicators import IndicatorSet
 
 
@@ -25,19 +25,23 @@ def lookup_ip(df: DataFrame, text_col: str, iset: IndicatorSet, tree_depth: bool
     """Rows (text, matched_prefix_len, network, data_json[, tree_prefix_len]) for addresses that a prefix covers.
 
     The longest covering prefix counts. An address is masked to each length that the set has, and joined on length and
-    masked bits. ``tree_prefix_len`` is the depth at which a binary tree of all prefixes would end the walk: one more than
-    the deepest inner node on the address's path. IPv6 addresses match nothing in a set of IPv4 prefixes.
+    masked bits; only text that looks like IPv6 goes through Python, and none does if the set has IPv4 alone.
+    ``tree_prefix_len`` is the depth at which a binary tree of all prefixes would end the walk: one more than the deepest
+    inner node on the address's path. IPv6 addresses match nothing in a set of IPv4 prefixes.
     """
     mixed = iset.meta["has_v6"]
-    seen = _texts(df, text_col).withColumn("a", address(F.col("text"))).filter(F.col("a").isNotNull()).select("text", "a.hi", "a.lo", F.col("a.v6").alias("six"))
-    if not mixed:
-        seen = seen.filter(~F.col("six"))
+    texts = _texts(df, text_col)
+    four = texts.filter(is_ipv4(F.col("text")))
+    seen = four.select("text", F.lit(0).cast("bigint").alias("hi"), ipv4_to_long(F.col("text")).alias("lo"), F.lit(False).alias("six"))
+    if mixed:
+        six = texts.filter(looks_ipv6(F.col("text"))).withColumn("p", ipv6_parts(F.col("text"))).filter(F.col("p.hi").isNotNull())
+        seen = seen.unionByName(six.select("text", "p.hi", "p.lo", F.lit(True).alias("six")))
     tries = seen.select("text", "six", F.col("hi").alias("h"), F.col("lo").alias("l"), _lengths(iset.lengths).alias("plen"))
     tries = tries.select("text", "six", "plen", mask_hi(F.col("h"), F.col("plen")).alias("hi"), mask_lo(F.col("l"), F.col("plen")).alias("lo"))
     hits = tries.join(iset.ips, ["hi", "lo", "plen"])
     best = hits.groupBy("text", "six").agg(F.max_by(F.struct("hi", "lo", "plen", "v6", "data_json"), "plen").alias("b"))
     shown = F.col("b.plen") - F.when(F.col("six"), 0).otherwise(96)
-    out = best.select("text", "six", F.greatest(shown, F.lit(0)).alias("matched_prefix_len"), network_text(F.col("b.hi"), F.col("b.lo"), F.col("b.plen"), F.col("b.v6")).alias("network"), F.col("b.data_json").alias("data_json"))
+    out = best.select("text", "six", F.greatest(shown, F.lit(0)).alias("matched_prefix_len"), network_text(F.col("b.hi"), F.col("b.lo"), F.col("b.plen"), F.col("b.v6"), mixed).alias("network"), F.col("b.data_json").alias("data_json"))
     if not tree_depth:
         return out.drop("six")
     walk = seen.select("text", F.col("hi").alias("h"), F.col("lo").alias("l"), _lengths(iset.meta["depths"]).alias("depth"))
