@@ -38,12 +38,14 @@ def segments(totals: DataFrame, schedule: tuple = SCHEDULE, weights: dict[str, l
     return parts.withColumn("a1", F.sum(area).over(w)).withColumn("a0", F.coalesce(F.lag("a1").over(w), F.lit(0.0)))
 
 
-def mix(docs: DataFrame, schedule: tuple = SCHEDULE, weights: dict[str, list[float]] | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, schedule: tuple = SCHEDULE, weights: dict[str, list[float]] | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, whole: bool = False) -> DataFrame:
     """The documents that the mix takes, in training order: all columns, and n_tokens, position (0 to 1).
 
     A source's documents come in a seeded random order. The middle of a document's tokens, summed over its source, is set
     equal to the run's tokens times the integral of the source's weight, and solved for the time: its position. The run has
-    as many tokens as it can without a source running out; documents beyond that aren't taken. The output is sorted and
+    as many tokens as it can without a source running out; documents beyond that aren't taken. With ``whole``, each source's
+    integral is scaled to its own tokens instead: every document is taken once, whatever the sizes of other sources, a
+    source's tokens follow the course of its weight, and its share is the weight only as far as its tokens allow. The output is sorted and
     partitioned by ranges of the position, which are even, as equal times hold equal tokens.
 
     Order and sums don't need a source in one task: documents are summed inside 4096 buckets of the order, then buckets.
@@ -62,12 +64,17 @@ def mix(docs: DataFrame, schedule: tuple = SCHEDULE, weights: dict[str, list[flo
     segs = segments(parts.groupBy("src").agg(F.sum("part").alias("tokens")), schedule, weights)
     ends = segs.groupBy("src").agg(F.max("a1").alias("all_a"))
     totals = parts.groupBy("src").agg(F.sum("part").alias("tokens"))
-    run = totals.join(ends, "src").filter("all_a > 0").agg(F.min(F.col("tokens") / F.col("all_a")).alias("run"))
+    own = totals.join(ends, "src").filter("all_a > 0").select("src", "all_a", (F.greatest(F.col("tokens"), F.lit(1)) / F.col("all_a")).alias("run"))
     order = Window.partitionBy("src", "b").orderBy("o", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
     placed = src.withColumn("inside", F.sum("n").over(order)).join(before.select("src", "b", "before"), ["src", "b"])
     middle = F.col("before") + F.col("inside") - F.col("n") / 2
-    rows = placed.crossJoin(F.broadcast(run)).withColumn("y", middle / F.col("run"))
-    hit = rows.join(segs, "src").filter((F.col("y") > F.col("a0")) & (F.col("y") <= F.col("a1")))
+    if whole:
+        y = F.greatest(F.lit(1e-300), F.least(F.col("all_a"), middle / F.col("run")))
+        hit = placed.join(segs.join(own, "src"), "src").withColumn("y", y)
+    else:
+        run = own.agg(F.min("run").alias("run"))
+        hit = placed.crossJoin(F.broadcast(run)).withColumn("y", middle / F.col("run")).join(segs, "src")
+    hit = hit.filter((F.col("y") > F.col("a0")) & (F.col("y") <= F.col("a1")))
     slope = (F.col("w1") - F.col("w0")) / (F.col("t1") - F.col("t0"))
     rest = F.col("y") - F.col("a0")
     t = F.col("t0") + 2 * rest / (F.col("w0") + F.sqrt(F.greatest(F.lit(0.0), F.col("w0") * F.col("w0") + 2 * slope * rest)))
