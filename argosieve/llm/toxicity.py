@@ -44,7 +44,7 @@ _MASKS = "*#%&"
 _LOOKALIKES = str.maketrans("οоеасрхуіѕԁαεικνρτυ", "ooeacpxyisdaeiknptu")
 _MARKS = ".,;:?\"'`()[]{}<>«»“”„…-–—_=/\\~^"
 _RUN_END = re.compile(r"^([!@#$%&*+|])\1+|([!@#$%&*+|])\2+$")
-_REPEAT, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
+_DOUBLE = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|+*])(?:[ .\-_*]+(?:[^\W\d_]|[0-9@$!|+*])){3,}(?!\S)")
 
 
@@ -196,8 +196,8 @@ class Restorer:
 
 
 def _stretched(word: str) -> bool:
-    """Whether a letter comes three times in a row, or three are doubled."""
-    return bool(_REPEAT.search(word)) or len(_DOUBLE.findall(word)) > 2
+    """Whether a letter comes twice in a row."""
+    return bool(_DOUBLE.search(word))
 
 
 def _core(token: str) -> str:
@@ -405,8 +405,8 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """All rows and columns, and toxicity (0 to 1) and is_toxic.
 
     The letter model counts all documents; word weights come from at most ``max_labelled`` labelled ones. Tokens that hold
-    digits or signs for letters, letters three times in a row, or letters that stand apart are read as lattices and
-    decoded; other tokens have one reading. Texts are read whole. A null, empty or wordless text has toxicity 0; without
+    digits or signs for letters, doubled letters, or letters that stand apart are read as lattices and decoded; a word
+    with doubled letters may be itself too; other tokens have one reading. Texts are read whole. A null, empty or wordless text has toxicity 0; without
     toxic labels every text has. Repeated rows get the same result. Columns named toxicity or is_toxic are replaced.
     """
     docs = docs.drop("toxicity", "is_toxic")

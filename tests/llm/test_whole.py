@@ -30,3 +30,20 @@ def test_a_whole_mix_follows_the_course_of_its_weights(spark):
         share = np.interp(grid, [0, 0.5, 1], w)
         area = np.concatenate([[0], np.cumsum((share[1:] + share[:-1]) / 2 * np.diff(grid))])
         assert sum(r["position"] <= 0.5 for r in own) / len(own) == pytest.approx(area[50_000] / area[-1], abs=0.03)
+
+
+LEXICON = ["stupid", "moron", "worthless", "disgusting", "pathetic"]
+
+
+@pytest.fixture(scope="module")
+def restorer(spark):
+    text = " ".join(LEXICON) + " the plain text of a table that reads like words do, all will be well and good in a small book"
+    return toxicity.Restorer(toxicity.letter_model(spark.createDataFrame([(text,)] * 50, "text string")), LEXICON)
+
+
+@pytest.mark.parametrize("written", ["stuupid", "stuupidd", "sttuupid", "morron", "wworthless", "ddisgusting", "patheetic", "STUUPID!", "(morron)"])
+def test_words_with_any_doubled_letter_are_decoded(restorer, written):
+    told = toxicity.Evidence(sure={w: 0.99 for w in LEXICON}, telling=frozenset(LEXICON))
+    scorer = toxicity.TokenScorer(toxicity.TokenReader(restorer), told)
+    assert toxicity.score(f"you are {written} here", scorer) > 0.9
+    assert toxicity.score("all will be well and good in a small book", scorer) < 0.1
