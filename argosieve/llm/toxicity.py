@@ -22,8 +22,8 @@ MAX_LABELLED = 20_000
 #: A word, or the first letters of words, tell of toxicity if they are this many times as frequent in toxic texts as in others,
 #: in this many times as large a share of the texts,
 RATIO, TEXT_RATIO = 10.0, 3.0
-#: and if they stand between this many different pairs of words there, and in this share of the toxic texts.
-MIN_CONTEXTS, MIN_SHARE = 3, 0.02
+#: and if they stand between this many different pairs of words there. So many words may come out by chance alone.
+MIN_CONTEXTS, BY_CHANCE = 3, 0.1
 STEM_LENGTHS = (4, 5, 6)
 #: A word is sure, and decides alone, if this share of the texts that hold it is toxic; of others it takes this many.
 SURE, MIN_HITS = 0.98, 2
@@ -284,9 +284,19 @@ class Evidence:
         return [w for w in {*self.sure, *self.telling} if w[-1] != "*"]
 
 
+def evidence_of(n: int, other: int, share: float) -> float:
+    """The log of the likelihood ratio that a word in n toxic and other clean texts is toxic more often than the share of all.
+
+    By Chernoff's bound a word that tells nothing comes to x with a chance of exp(-x) at most.
+    """
+    p = n / (n + other)
+    return 0.0 if p <= share else n * math.log(p / share) + (other * math.log((1 - p) / (1 - share)) if other else 0.0)
+
+
 def fit_words(rows: DataFrame) -> Evidence:
     """Learns from labelled texts (t, y); equal ones count once, and near copies as often as they differ around a word.
 
+    Each word is tested by its own counts, against the chance that any of all words that were counted passes.
     The executors count; the driver gets the words that may tell. Without toxic texts nothing tells.
     """
     rows = materialize(rows.filter("t IS NOT NULL").dropDuplicates(["t", "y"]), "toxicity-labelled")
@@ -297,8 +307,10 @@ def fit_words(rows: DataFrame) -> Evidence:
         return Evidence()
     spread = rows.filter("y = 1").select("t").mapInArrow(_counts, "w string, n bigint, often bigint, between array<int>")
     seen = spread.groupBy("w").agg(F.sum("n").alias("n"), F.sum("often").alias("often"), F.size(F.array_distinct(F.flatten(F.collect_list("between")))).alias("kinds"))
-    seen = seen.select("w", F.least("n", "kinds").alias("n"), "often").filter((F.length("w") > 2) & (F.col("n") >= max(MIN_CONTEXTS, MIN_SHARE * n_toxic)))
-    may = {r["w"]: (r["n"], r["often"]) for r in seen.collect()}
+    seen = materialize(seen.select("w", F.least("n", "kinds").alias("n"), "often").filter((F.length("w") > 2) & (F.col("n") >= MIN_CONTEXTS)), "toxicity-words")
+    share = n_toxic / (n_toxic + max(1, n_clean))
+    least = math.log(max(1, seen.count()) / BY_CHANCE)
+    may = {r["w"]: (r["n"], r["often"]) for r in seen.filter(F.col("n") * -math.log(share) >= least).collect()}
     asked = rows.sparkSession.sparkContext.broadcast(frozenset(may))
 
     def clean_counts(batches):
@@ -319,7 +331,7 @@ def fit_words(rows: DataFrame) -> Evidence:
     out = Evidence(share=min(0.9, n_toxic / (n_toxic + n_clean)))
     for w, (n, often) in may.items():
         other, other_often = clean.get(w, (0, 0))
-        if often / toxic_tokens >= RATIO * (other_often + 0.5) / max(1, clean_tokens) and n / n_toxic >= TEXT_RATIO * (other + 0.5) / max(1, n_clean):
+        if evidence_of(n, other, share) >= least and often / toxic_tokens >= RATIO * (other_often + 0.5) / max(1, clean_tokens) and n / n_toxic >= TEXT_RATIO * (other + 0.5) / max(1, n_clean):
             out.telling |= {w}
             p = n / (n + other + 1.0)
             if w[-1] != "*" and p >= SURE:

@@ -47,3 +47,12 @@ def test_words_with_any_doubled_letter_are_decoded(restorer, written):
     scorer = toxicity.TokenScorer(toxicity.TokenReader(restorer), told)
     assert toxicity.score(f"you are {written} here", scorer) > 0.9
     assert toxicity.score("all will be well and good in a small book", scorer) < 0.1
+
+
+def test_a_telling_word_needs_no_share_of_all_toxic_texts(spark):
+    rng = np.random.default_rng(6)
+    plain = lambda: " ".join("w" + chr(97 + x // 100) + chr(97 + x // 10 % 10) + chr(107 + x % 10) for x in rng.integers(0, 2600, 12).tolist())
+    rows = [(f"{plain()} idiot {plain()}", 1) for _ in range(600)] + [(f"{plain()} bocoos {plain()}", 1) for _ in range(8)] + [(f"{plain()} {plain()}", 0) for _ in range(3000)]
+    told = toxicity.fit_words(spark.createDataFrame(rows, "t string, y int"))
+    assert {"idiot", "bocoos"} <= told.telling
+    assert not [w for w in told.telling if w[0] == "w"]
