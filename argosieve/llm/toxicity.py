@@ -25,8 +25,9 @@ RATIO, TEXT_RATIO = 10.0, 3.0
 #: and if they stand between this many different pairs of words there. So many words may come out by chance alone.
 MIN_CONTEXTS, BY_CHANCE = 3, 0.1
 STEM_LENGTHS = (4, 5, 6)
-#: A word is sure, and decides alone, if this share of the texts that hold it is toxic; of others it takes this many.
-SURE, MIN_HITS = 0.98, 2
+#: A word is sure, and decides alone, if this share of the texts that hold it is toxic, and half of all such texts with this
+#: confidence; of others it takes this many.
+SURE, CONFIDENCE, MIN_HITS = 0.98, 0.99, 2
 #: From this chance on a document is toxic.
 THRESHOLD = 0.5
 
@@ -293,6 +294,13 @@ def evidence_of(n: int, other: int, share: float) -> float:
     return 0.0 if p <= share else n * math.log(p / share) + (other * math.log((1 - p) / (1 - share)) if other else 0.0)
 
 
+def is_sure(n: int, other: int) -> bool:
+    """Whether a word in n toxic and other clean texts decides alone: were half of such texts toxic, so many would hardly be."""
+    total = n + other
+    tail = sum(math.exp(math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1) - total * math.log(2)) for k in range(other + 1))
+    return n >= SURE * total and tail <= 1 - CONFIDENCE
+
+
 def fit_words(rows: DataFrame) -> Evidence:
     """Learns from labelled texts (t, y); equal ones count once, and near copies as often as they differ around a word.
 
@@ -333,9 +341,8 @@ def fit_words(rows: DataFrame) -> Evidence:
         other, other_often = clean.get(w, (0, 0))
         if evidence_of(n, other, share) >= least and often / toxic_tokens >= RATIO * (other_often + 0.5) / max(1, clean_tokens) and n / n_toxic >= TEXT_RATIO * (other + 0.5) / max(1, n_clean):
             out.telling |= {w}
-            p = n / (n + other + 1.0)
-            if w[-1] != "*" and p >= SURE:
-                out.sure[w] = p
+            if w[-1] != "*" and is_sure(n, other):
+                out.sure[w] = n / (n + other + 1.0)
     told = rows.sparkSession.sparkContext.broadcast(out)
 
     def hits(batches):
@@ -378,31 +385,44 @@ class TokenScorer(dict):
         return found
 
 
+def worst_window(places: list[int], gain: float, cost: float) -> float:
+    """The most that a stretch of tokens from one hit to another comes to, at a gain for each hit and a cost for each token.
+
+    A stretch has MIN_HITS hits at least; -inf if there are fewer.
+    """
+    best, start = -math.inf, -math.inf
+    for k, place in enumerate(places):
+        first = k - MIN_HITS + 1
+        if first >= 0:
+            start = max(start, places[first] * cost - first * gain)
+            best = max(best, start + (k + 1) * gain - (place + 1) * cost)
+    return best
+
+
 def score(text: str, scorer: TokenScorer) -> float:
     """The chance that a text is toxic, from all its tokens with their restored readings, and from letters that stand apart.
 
-    Sure words decide alone. Of telling ones, as many must come as toxic texts of that length have rather than others: the
-    two counts are taken as Poisson.
+    Sure words decide alone. Of telling ones, as many must come in some stretch of the text as toxic texts of that length
+    have rather than others: the two counts are taken as Poisson, and the worst stretch counts, so that a passage weighs
+    the same alone and inside a long text.
     """
-    e, sure, hits, tokens = scorer.evidence, set(), 0, text.split()
-    for token, k in Counter(tokens).items():
-        found = scorer[token]
-        if found is not None:
-            hits += k
-            if found:
-                sure.add(found)
+    e, sure, tokens = scorer.evidence, set(), text.split()
+    told = {token: found for token in set(tokens) if (found := scorer[token]) is not None}
+    sure.update(found for found in told.values() if found)
+    places = [i for i, token in enumerate(tokens) if token in told] if told else []
     if scorer.reader.restorer:
         for m in _SPACED.finditer(text):
             joined = scorer.reader.restorer.decode(re.sub(r"[ .\-_]+", "", m.group(0)).lower())
             found = [w for w in e.words() if len(w) > 3 and w in joined]
-            hits += bool(found)
+            if found:
+                places.append(len(text[: m.start()].split()))
             sure.update(w for w in found if w in e.sure)
     rest = 1.0
     for w in sure:
         rest *= 1 - e.sure[w]
-    if hits < MIN_HITS:
+    if len(places) < MIN_HITS:
         return 1 - rest
-    odds = hits * math.log(e.toxic_rate / e.clean_rate) - len(tokens) * (e.toxic_rate - e.clean_rate) + math.log(e.share / (1 - e.share))
+    odds = worst_window(sorted(places), math.log(e.toxic_rate / e.clean_rate), e.toxic_rate - e.clean_rate) + math.log(e.share / (1 - e.share))
     return max(1 - rest, 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))))
 
 

@@ -56,3 +56,24 @@ def test_a_telling_word_needs_no_share_of_all_toxic_texts(spark):
     told = toxicity.fit_words(spark.createDataFrame(rows, "t string, y int"))
     assert {"idiot", "bocoos"} <= told.telling
     assert not [w for w in told.telling if w[0] == "w"]
+
+
+def test_a_toxic_passage_weighs_the_same_inside_a_long_text():
+    told = toxicity.Evidence(telling=frozenset(["moron", "stupid"]), toxic_rate=0.08, clean_rate=0.0002, share=0.1)
+    scorer = toxicity.TokenScorer(toxicity.TokenReader(None), told)
+    passage, long = "you moron are so stupid a moron", "plain words of a text " * 2000
+    alone = toxicity.score(passage, scorer)
+    assert alone > 0.9 and toxicity.score(long + passage + " " + long, scorer) == pytest.approx(alone, abs=0.1)
+    assert toxicity.score(long + "moron " + long + "stupid", scorer) < 0.1
+
+
+def test_few_labels_can_make_a_word_sure():
+    assert toxicity.is_sure(8, 0) and toxicity.is_sure(49, 0) and not toxicity.is_sure(3, 0) and not toxicity.is_sure(400, 300) and not toxicity.is_sure(49, 2)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_worst_window_is_that_of_all_windows(seed):
+    rng = np.random.default_rng(seed)
+    places = np.flatnonzero(rng.random(200) < 0.05).tolist()
+    want = max((j - i + 1) * 2.0 - (places[j] - places[i] + 1) * 0.1 for i in range(len(places)) for j in range(i + toxicity.MIN_HITS - 1, len(places)))
+    assert toxicity.worst_window(places, 2.0, 0.1) == pytest.approx(want)
