@@ -24,7 +24,7 @@ def _hashes(texts: list[str | None], min_chars: int) -> tuple[np.ndarray, np.nda
     for own in lines:
         for line in own:
             key = line.strip(" ")
-            if len(key) >= min_chars:
+            if len(key) >= min_chars and (len(key) >= MIN_CHARS or not key.isspace()):
                 h.append(digest(key.encode("utf-8", "surrogatepass")))
                 at.append(n)
             n += 1
@@ -55,7 +55,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows and columns, ``text`` without the lines that an earlier document holds, and n_lines, n_dropped.
 
     Lines are compared whole, without spaces at their ends, over all documents; lines of fewer than ``min_chars``
-    characters always stay. Of a line that repeats, the first occurrence in the document of the smallest id stays (in each
+    characters always stay, and so do short ones of white space alone. Of a line that repeats, the first occurrence in the document of the smallest id stays (in each
     of its rows, if the id repeats); all others go. Ids are integers; documents without an id never keep a line that one
     with an id holds. A null text stays null, with no lines; a text that loses every line becomes empty. Columns that are
     named n_lines or n_dropped already are replaced.

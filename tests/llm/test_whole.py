@@ -77,3 +77,11 @@ def test_worst_window_is_that_of_all_windows(seed):
     places = np.flatnonzero(rng.random(200) < 0.05).tolist()
     want = max((j - i + 1) * 2.0 - (places[j] - places[i] + 1) * 0.1 for i in range(len(places)) for j in range(i + toxicity.MIN_HITS - 1, len(places)))
     assert toxicity.worst_window(places, 2.0, 0.1) == pytest.approx(want)
+
+
+def test_the_pipeline_drops_short_lines_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "And ornd.\n\nfirst of all\n\t\nx"), (2, "And ornd.\n\n\t\na second\n\r\nx")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: "And ornd.\n\nfirst of all\n\t\nx", 2: "\n\t\na second\n\r"}
+    kept = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(docs).collect()}
+    assert kept == {1: 0, 2: 0}
