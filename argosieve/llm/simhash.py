@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -27,6 +28,8 @@ CENTRES, LIST_SIZE = 96, 4000
 LONG_LIST = 32_000
 #: Share of the pairs at the radius itself that the repetitions are to find; nearer pairs are found more surely.
 RECALL = 0.95
+#: The same for the cut of a list that turned out long.
+CUT_RECALL = 0.99
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int32) * 2 - 1)
 
 
@@ -73,26 +76,44 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("fp", T.BinaryType())]))
 
 
-def _chances() -> tuple[float, float]:
-    """The chance that a random fingerprint is on a list, and that one at the radius from it is on it too."""
-    weights = [math.comb(STRIP, w) / 2.0**STRIP for w in range(WEIGHT + 1)]
-    one, both, q = sum(weights), 0.0, RADIUS / BITS
-    for w, p in enumerate(weights):
-        for down in range(w + 1):
-            for up in range(STRIP - w + 1):
-                if w - down + up <= WEIGHT:
-                    both += p * math.comb(w, down) * q**down * (1 - q) ** (w - down) * math.comb(STRIP - w, up) * q**up * (1 - q) ** (STRIP - w - up)
-    return one, both / one
+def _on_list() -> float:
+    """The chance that a random fingerprint is on a list."""
+    return sum(math.comb(STRIP, w) for w in range(WEIGHT + 1)) / 2.0**STRIP
+
+
+def _share_a_list(differ: int) -> float:
+    """The chance that two fingerprints that differ in so many coordinates of a strip are together on one of its lists."""
+    both = 0
+    for w in range(WEIGHT + 1):
+        for flipped in range(min(w, differ) + 1):
+            if w - flipped + differ - flipped <= WEIGHT:
+                both += math.comb(differ, flipped) * math.comb(STRIP - differ, w - flipped)
+    return 1 - (1 - both / 2.0**STRIP) ** CENTRES
+
+
+@cache
+def meeting(levels: int, bits: int = BITS, distance: int = RADIUS) -> float:
+    """The chance that two fingerprints at a distance share a list after the levels of one repetition.
+
+    Strips hold different coordinates, so each takes its part of the differing bits from what the earlier ones left.
+    """
+    if not levels:
+        return 1.0
+    fits = range(max(0, STRIP - bits + distance), min(STRIP, distance) + 1)
+    ways = (math.comb(distance, d) * math.comb(bits - distance, STRIP - d) * _share_a_list(d) * meeting(levels - 1, bits - STRIP, distance - d) for d in fits)
+    return sum(ways) / math.comb(bits, STRIP)
+
+
+def _times(chance: float, recall: float) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-chance)))
 
 
 def plan(n: int) -> tuple[int, int]:
-    """Levels of strips until a list is small, and repetitions until pairs at the radius are found with RECALL."""
-    one, both = _chances()
+    """Levels of strips until a list is small, and repetitions until pairs at the radius are found with RECALL, even if their lists are cut once."""
     levels = 0
-    while levels < BITS // STRIP and n * one**levels > LIST_SIZE:
+    while levels < BITS // STRIP and n * _on_list() ** levels > LIST_SIZE:
         levels += 1
-    shared = (CENTRES * one * both) ** levels
-    return levels, 1 if not levels else max(1, math.ceil(math.log(1 / (1 - RECALL)) / shared))
+    return levels, 1 if not levels else _times(meeting(levels) * CUT_RECALL, RECALL)
 
 
 def _strips(rep: int) -> np.ndarray:
@@ -143,12 +164,11 @@ def _pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def search(fps: np.ndarray, rep: int, level: int, path: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Near pairs of a list: recursion over the strips that are left while it is long, brute force once it is small.
 
-    A long list is cut by fresh centres as often as it takes to find pairs at the radius with RECALL.
+    A long list is cut by fresh centres as often as it takes to find pairs at the radius with CUT_RECALL.
     """
     if len(fps) <= LONG_LIST or level >= BITS // STRIP:
         return _pairs(fps)
-    one, both = _chances()
-    times = math.ceil(math.log(1 / (1 - RECALL)) / (CENTRES * one * both))
+    times = _times(meeting(1), CUT_RECALL)
     bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     part = _on_strip(bits, _strips(rep)[level])
     left, right = [], []

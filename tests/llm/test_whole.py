@@ -85,3 +85,34 @@ def test_the_pipeline_drops_short_lines_that_repeat(spark):
     assert got == {1: "And ornd.\n\nfirst of all\n\t\nx", 2: "\n\t\na second\n\r"}
     kept = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(docs).collect()}
     assert kept == {1: 0, 2: 0}
+
+
+def test_near_edges_with_the_plan_of_a_large_corpus(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, (1000, simhash.BITS), dtype=np.uint8)
+    copies = base.copy()
+    for c in copies:
+        c[rng.choice(simhash.BITS, simhash.RADIUS, replace=False)] ^= 1
+    fps = np.packbits(np.concatenate([base, copies]), axis=1, bitorder="little").view(np.uint64)
+    levels, reps = simhash.plan(600_000)
+    assert levels == 2
+    df = spark.createDataFrame([(k, f.tobytes()) for k, f in enumerate(fps)], "id bigint, fp binary").repartition(4)
+    found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.near_edges(df, levels, reps).collect()}
+    assert sum((k, k + 1000) in found for k in range(1000)) >= 930
+
+
+@pytest.mark.parametrize("distance", [30, 44])
+def test_meeting_chance_is_that_of_the_lists(distance):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2, (400, simhash.BITS), dtype=np.uint8)
+    b = a.copy()
+    for c in b:
+        c[rng.choice(simhash.BITS, distance, replace=False)] ^= 1
+    met = 0
+    for rep in range(40):
+        lists = []
+        for x in (a, b):
+            at, keys = simhash.list_keys(np.packbits(x, axis=1, bitorder="little").view(np.uint64), rep, 1)
+            lists.append(set(zip(at.tolist(), keys.tolist())))
+        met += len({k for k, _ in lists[0] & lists[1]})
+    assert met / 16_000 == pytest.approx(simhash.meeting(1, distance=distance), rel=0.1)
