@@ -52,7 +52,7 @@ def parse(source: str) -> Page:
     """Builds the tree of a page; tags that are left open or closed twice are mended as browsers would, roughly."""
     page = Page()
     stack: list[tuple[str, int]] = []
-    links, marks, block = 0, 0, 0
+    links, marks, block, blank = 0, 0, 0, False
 
     def add(tag: int, clue: int, length: int) -> int:
         up = stack[-1][1] if stack else -1
@@ -74,8 +74,12 @@ def parse(source: str) -> Page:
         block += name in _BLOCK
 
     def text(raw: str) -> None:
+        nonlocal blank
         if raw and not raw.isspace():
-            page.texts[add(0, 0, len(raw.strip()))] = raw
+            page.texts[add(0, 0, len(raw.strip()))] = " " + raw if blank else raw
+            blank = False
+        else:
+            blank = blank or bool(raw)
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -189,13 +193,16 @@ class TreeModel:
 def page_text(page: Page, content: np.ndarray) -> str:
     """The text of the page's content nodes: one line a block, white space folded, entities resolved."""
     lines: list[list[str]] = []
-    last = None
+    last, blank = None, False
     for node, raw in page.texts.items():
         if content[node]:
             if page.block[node] != last:
                 lines.append([])
                 last = page.block[node]
-            lines[-1].append(raw)
+            lines[-1].append(" " + raw if blank else raw)
+            blank = False
+        else:
+            blank = blank or raw[0].isspace() or raw[-1].isspace()
     joined = (" ".join(htmllib.unescape("".join(x)).split()) for x in lines)
     return "\n".join(x for x in joined if x)
 

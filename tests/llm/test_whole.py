@@ -116,3 +116,18 @@ def test_meeting_chance_is_that_of_the_lists(distance):
             lists.append(set(zip(at.tolist(), keys.tolist())))
         met += len({k for k, _ in lists[0] & lists[1]})
     assert met / 16_000 == pytest.approx(simhash.meeting(1, distance=distance), rel=0.1)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [("<p><b>Hello</b> <i>world</i></p>", "Hello world"), ("<p><a>one</a>\n<a>two</a></p>", "one two"), ("<p>a<b>b</b>c</p>", "abc"), ("<p>one</p> <p>two</p>", "one\ntwo")],
+)
+def test_white_space_between_inline_elements_stays(html, want):
+    page = htmlextract.parse(html)
+    assert htmlextract.page_text(page, np.ones(len(page.parent), bool)) == want
+
+
+def test_white_space_around_what_is_left_out_stays():
+    page = htmlextract.parse("<p><b>one</b> <a>menu</a><i>two</i></p>")
+    content = np.array([page.texts.get(k, "").strip() != "menu" for k in range(len(page.parent))])
+    assert htmlextract.page_text(page, content) == "one two"
