@@ -18,25 +18,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """This application's folder under ``spark.checkpoint.dir``, with the scheme of the file system that it lies on.
+
+    A folder without a scheme is on Hadoop's default file system. Where the setting is missing, a local session, as in
+    tests, gets a temporary folder; on a cluster that is an error, as its machines would not share it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="argosieve-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") if "://" in base or base.startswith("file:") else "file://" + base.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{fs.makeQualified(at).toString().rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_base(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file that nothing reads any more, such as an earlier round's table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder; results that were not saved elsewhere go with it."""
+    discard(spark, shared_base(spark))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder as Parquet and reads it back, so lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
+    return stored(df, shared_dir(df.sparkSession, tag))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as Parquet at ``path``, read back."""
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -67,11 +89,6 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """Bytes of text in the whole table."""
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("bigint")), F.lit(0)).alias("n")).first()["n"])
-
-
 def hash_sample(df: DataFrame, key: F.Column, limit: int) -> DataFrame:
     """The rows of the ``limit`` smallest values of ``key`` (a bigint), more where values are equal at the end.
 

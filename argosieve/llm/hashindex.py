@@ -9,11 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from argosieve.llm.common import mix64, shared_dir, shuffle_partitions
+from argosieve.llm.common import discard, mix64, shared_dir, stored
 from argosieve.llm.mph import MinimalPerfectHash
 from argosieve.llm.storage import read_arrays, write_arrays
 
+#: Rows that a shard is built from on average; a task holds one shard.
+SHARD_ROWS = 250_000
 _COMBINE = {"sum": np.add, "min": np.minimum, "max": np.maximum}
 
 
@@ -28,13 +31,17 @@ def fingerprint_of(hashes: np.ndarray) -> np.ndarray:
 def build(rows: DataFrame, values: dict[str, tuple[str, str]], tag: str) -> HashIndex:
     """Indexes column ``h`` (bigint, the hash's bits) with one value for each name in ``values``.
 
-    ``values`` gives the numpy type and how rows of one hash combine (sum, min or max). Rows without a hash are left out.
+    ``values`` gives the numpy type and how rows of one hash combine (sum, min or max); sums beyond a type's range stay at
+    its largest number. Rows without a hash are left out. The rows are written first, so that they are computed once, and
+    counted: there are as many shards as SHARD_ROWS asks for, and a task of its own builds each.
     """
     spark = rows.sparkSession
-    n, folder = shuffle_partitions(spark), shared_dir(spark, tag)
-    shard = F.shiftright(F.shiftrightunsigned("h", 40) * F.lit(n), 24).cast("int")
     names = list(values)
-    src = rows.filter(F.col("h").isNotNull()).select("h", *names, shard.alias("s")).repartition(n, "s")
+    path = shared_dir(spark, tag + "-rows")
+    rows = stored(rows.filter(F.col("h").isNotNull()).select("h", *names), path)
+    n, folder = max(1, -(-rows.count() // SHARD_ROWS)), shared_dir(spark, tag)
+    shard = F.shiftright(F.shiftrightunsigned("h", 40) * F.lit(n), 24).cast("int")
+    src = rows.select("h", *names, shard.alias("s")).repartitionById(n, "s")
 
     def run(batches):
         parts = list(batches)
@@ -46,7 +53,7 @@ def build(rows: DataFrame, values: dict[str, tuple[str, str]], tag: str) -> Hash
         h, s = h[order], s[order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         keys, at = h[new], s[new]
-        cols = {k: _COMBINE[how].reduceat(t.column(k).to_numpy()[order], new) for k, (_, how) in values.items()}
+        cols = {k: np.minimum(_COMBINE[how].reduceat(t.column(k).to_numpy()[order], new), np.iinfo(kind).max) for k, (kind, how) in values.items()}
         for which in np.unique(at):
             own = np.flatnonzero(at == which)
             mph = MinimalPerfectHash.build(keys[own])
@@ -63,6 +70,7 @@ def build(rows: DataFrame, values: dict[str, tuple[str, str]], tag: str) -> Hash
             yield pa.RecordBatch.from_pydict({"shard": pa.array([int(which)], pa.int32()), "n": pa.array([len(own)], pa.int64())})
 
     made = {r["shard"]: r["n"] for r in src.mapInArrow(run, "shard int, n bigint").collect()}
+    discard(spark, path)
     return HashIndex(folder, n, made, names)
 
 
@@ -97,3 +105,24 @@ class HashIndex:
         for k in self.names:
             out.setdefault(k, np.zeros(len(hashes), np.int64))
         return found, out
+
+    def probe_rows(self, rows: DataFrame) -> DataFrame:
+        """The rows, which have a column ``h``, and found and the values as bigints (null where it isn't there).
+
+        Rows go to the task that opens their shard, so that no task reads more than one, whatever the index weighs. Rows
+        without a hash are spread over all tasks and not found.
+        """
+        n, names, kinds = self.n_shards, self.names, rows.schema
+        shard = F.shiftright(F.shiftrightunsigned("h", 40) * F.lit(n), 24).cast("int")
+        src = rows.repartitionById(n, F.coalesce(shard, F.pmod(F.spark_partition_id(), F.lit(n))))
+
+        def run(batches):
+            for b in batches:
+                h = b.column(b.schema.get_field_index("h"))
+                gone = h.is_null().to_numpy(zero_copy_only=False)
+                found, got = self.probe(h.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                found = found & ~gone
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found), *(pa.array(got[k].astype(np.int64), mask=~found) for k in names)], [*b.schema.names, "found", *names])
+
+        extra = [T.StructField("found", T.BooleanType()), *(T.StructField(k, T.LongType()) for k in names)]
+        return src.mapInArrow(run, T.StructType([*kinds.fields, *extra]))
