@@ -25,11 +25,13 @@ RATIO, TEXT_RATIO = 10.0, 3.0
 #: and if they stand between this many different pairs of words there. So many words may come out by chance alone.
 MIN_CONTEXTS, BY_CHANCE = 3, 0.1
 STEM_LENGTHS = (4, 5, 6)
+#: Letters of the shortest word that is looked for.
+SHORTEST = 3
 #: A word is sure, and decides alone, if this share of the texts that hold it is toxic, and half of all such texts with this
 #: confidence; of others it takes this many.
 SURE, CONFIDENCE, MIN_HITS = 0.98, 0.99, 2
-#: From this chance on a document is toxic.
-THRESHOLD = 0.5
+#: From this chance on a document is toxic: on held-out labels a chance below a half finds more toxic texts, and hardly more others.
+THRESHOLD = 0.3
 
 ORDER, BASE = 4, 32
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -44,9 +46,9 @@ _DISGUISE, _DROP, _SHORTEN, _MASK, _WORD = 1.0, 1.5, 1.0, 3.3, 6.0
 _MASKS = "*#%&"
 _LOOKALIKES = str.maketrans("οоеасрхуіѕԁαεικνρτυ", "ooeacpxyisdaeiknptu")
 _MARKS = ".,;:?\"'`()[]{}<>«»“”„…-–—_=/\\~^"
-_RUN_END = re.compile(r"^([!@#$%&*+|])\1+|([!@#$%&*+|])\2+$")
+_SIGNS = "!@#$%&*+|"
 _DOUBLE = re.compile(r"(.)\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|+*])(?:[ .\-_*]+(?:[^\W\d_]|[0-9@$!|+*])){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|+*])(?:[ .\-_*]+(?:[^\W\d_]|[0-9@$!|+*])){2,}(?!\S)")
 
 
 def _code_table() -> np.ndarray:
@@ -107,13 +109,14 @@ def smooth(counts: np.ndarray) -> np.ndarray:
 class Restorer:
     """Viterbi decoding of disguised words, as letters under the letter model or as a word that is looked for.
 
-    A word that is looked for costs ``_WORD`` besides its disguise, however long it is; its letters cost nothing.
+    A word that is looked for costs ``_WORD`` besides its disguise, however long it is; its letters cost nothing. Readings
+    matter only where they may be such a word or begin with one of the ``stems``, so only then are letters decoded.
     """
 
-    def __init__(self, costs: np.ndarray, words: list[str]):
+    def __init__(self, costs: np.ndarray, words: list[str], stems: list[str] = ()):
         self.costs, self.known = costs, {}
-        self.words = frozenset(w for w in words if len(w) > 3)
-        self.heads = frozenset(w[:k] for w in self.words for k in range(len(w) + 1))
+        self.words, self.stems = frozenset(w for w in words if len(w) >= SHORTEST), frozenset(stems)
+        self.heads = frozenset(w[:k] for w in (*self.words, *self.stems) for k in range(len(w) + 1))
         self.next: dict[str, list[str]] = defaultdict(list)
         for h in self.heads:
             if h:
@@ -144,41 +147,54 @@ class Restorer:
         return out
 
     def decode(self, token: str) -> str:
-        """The likeliest reading of a word in lower case."""
+        """The likeliest reading of a word in lower case; '' if no reading can be a word or begin with a stem that is looked for."""
         word = self.known.get(token)
         if word is None:
             if len(self.known) > 50_000:
                 self.known.clear()
             places = self.lattice(token)
-            cost, word = self._letters(places)
-            cost_known, known = self._known(places)
-            if known and cost_known + _WORD <= cost:
-                word = known
+            cost_known, known, stem = self._known(places)
+            word = ""
+            if known or stem:
+                cost, word = self._letters(places)
+                if known and cost_known + _WORD <= cost:
+                    word = known
             self.known[token] = word
         return word
 
+    def letters(self, run: str) -> str:
+        """The likeliest letters of a run, such as letters that stand apart: what stands between them is dropped."""
+        return self._letters(self.lattice(run))[1]
+
     def _letters(self, places: list[list[tuple[str, float]]]) -> tuple[float, str]:
         costs, mask = self.costs, BASE**3
-        at: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        at: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for place in places:
-            new: dict[int, tuple[float, str]] = {}
+            new: dict[int, tuple[float, tuple | None]] = {}
             for context, (cost, word) in at.items():
                 for letter, price in place:
                     if letter == "?":
                         continue
                     if letter:
                         key = context * BASE + _CODE.get(letter, _OTHER)
-                        item = (cost + price + float(costs[key]), word + letter)
+                        total = cost + price + float(costs[key])
                         key %= mask
                     else:
-                        item, key = (cost + price, word), context
-                    if key not in new or item < new[key]:
-                        new[key] = item
+                        total, key = cost + price, context
+                    old = new.get(key)
+                    if old is None or total < old[0]:
+                        new[key] = (total, (word, letter) if letter else word)
             at = new
-        return min((cost + float(costs[context * BASE]), word) for context, (cost, word) in at.items())
-
-    def _known(self, places: list[list[tuple[str, float]]]) -> tuple[float, str]:
-        at = {"": 0.0}
+        cost, word = min(((cost + float(costs[context * BASE]), word) for context, (cost, word) in at.items()), key=lambda x: x[0])
+        out = []
+        while word:
+            word, letter = word
+            out.append(letter)
+        return cost, "".join(reversed(out))
+
+    def _known(self, places: list[list[tuple[str, float]]]) -> tuple[float, str, bool]:
+        """The cheapest word that is looked for, and whether some reading begins with a stem."""
+        at, stem = {"": 0.0}, False
         for place in places:
             new: dict[str, float] = {}
             for head, cost in at.items():
@@ -188,7 +204,10 @@ class Restorer:
                         if h in self.heads and cost + price < new.get(h, 1e9):
                             new[h] = cost + price
             at = new
-        return min(((cost, head) for head, cost in at.items() if head in self.words), default=(1e9, ""))
+            if not at:
+                return 1e9, "", stem
+            stem = stem or not self.stems.isdisjoint(at)
+        return (*min(((cost, head) for head, cost in at.items() if head in self.words), default=(1e9, "")), stem)
 
     def lookalike(self, word: str) -> str:
         """A word that is looked for, written with letters that look like its own; '' if there is none."""
@@ -196,18 +215,25 @@ class Restorer:
         return plain if plain in self.words else ""
 
 
-def _stretched(word: str) -> bool:
-    """Whether a letter comes twice in a row."""
-    return bool(_DOUBLE.search(word))
-
-
 def _core(token: str) -> str:
     """A token without plain marks and runs of signs at its ends."""
+    a, b = 0, len(token)
     while True:
-        new = _RUN_END.sub("", token.strip(_MARKS)).strip(_MARKS)
-        if new == token:
-            return new
-        token = new
+        before = a, b
+        while a < b and token[a] in _MARKS:
+            a += 1
+        while a < b and token[b - 1] in _MARKS:
+            b -= 1
+        if b - a > 1 and token[a] in _SIGNS and token[a] == token[a + 1]:
+            sign = token[a]
+            while a < b and token[a] == sign:
+                a += 1
+        if b - a > 1 and token[b - 1] in _SIGNS and token[b - 1] == token[b - 2]:
+            sign = token[b - 1]
+            while a < b and token[b - 1] == sign:
+                b -= 1
+        if (a, b) == before:
+            return token[a:b]
 
 
 class TokenReader(dict):
@@ -225,11 +251,13 @@ class TokenReader(dict):
 
     def read(self, token: str) -> tuple[str, ...]:
         low = token.lower()
-        if low.isalpha() and not _stretched(low):
+        if low.isalpha() and not _DOUBLE.search(low):
+            if low.isascii():
+                return (low,)
             words = (low,)
         else:
             core = _core(low)
-            if core.isalpha() and not _stretched(core):
+            if core.isalpha() and not _DOUBLE.search(core):
                 words = (core,)
             elif not any(c.isalpha() or c in CHANNEL for c in core):
                 words = ()
@@ -280,10 +308,15 @@ class Evidence:
     toxic_rate: float = 0.02
     clean_rate: float = 0.0002
     share: float = 0.1
+    #: The classifier's weights of ``features_of``, its constant last; none where there was nothing to fit it on.
+    weights: tuple[float, ...] = ()
 
     def words(self) -> list[str]:
         return [w for w in {*self.sure, *self.telling} if w[-1] != "*"]
 
+    def stems(self) -> list[str]:
+        return [w[:-1] for w in self.telling if w[-1] == "*"]
+
 
 def evidence_of(n: int, other: int, share: float) -> float:
     """The log of the likelihood ratio that a word in n toxic and other clean texts is toxic more often than the share of all.
@@ -361,69 +394,138 @@ def fit_words(rows: DataFrame) -> Evidence:
     if got["n"]:
         out.toxic_rate = got["rates"] / got["n"]
     out.clean_rate = min(out.toxic_rate / RATIO, (got["clean"] + 1) / (clean_tokens + 1))
+    if n_clean:
+        measured = rows.sparkSession.sparkContext.broadcast(out)
+
+        def features(batches):
+            scorer = TokenScorer(TokenReader(None), measured.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([features_of(t, scorer) for t in text_column(batch, "t")], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+
+        seen = rows.select("t", F.col("y").cast("int").alias("y")).mapInArrow(features, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        x, y, n = np.array(seen.column("x").to_pylist(), np.float64), seen.column("y").to_numpy(), seen.column("n").to_numpy()
+        out.weights = tuple(fit_logistic(x, y, n).tolist())
     return out
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression, the constant last, by Newton's method; rows count n times."""
+    a = np.column_stack([x, np.ones(len(x))])
+    w, hold = np.zeros(a.shape[1]), ridge * np.eye(a.shape[1])
+    hold[-1, -1] = 1e-6
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + hold, a.T @ (n * (y - p)) - hold @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 class TokenScorer(dict):
     """The sure word in a token's readings ('' if it is only telling), None for others. Let go when it has grown large."""
 
     def __init__(self, reader: TokenReader, evidence: Evidence):
         super().__init__()
         self.reader, self.evidence = reader, evidence
+        self.spaced = [w for w in evidence.words() if len(w) >= SHORTEST]
+        self.stems = [frozenset(w for w in evidence.stems() if len(w) == k) for k in STEM_LENGTHS]
 
     def __missing__(self, token: str) -> str | None:
         if len(self) > 150_000:
             self.clear()
-        e, found = self.evidence, None
+        found, sure, telling = None, self.evidence.sure, self.evidence.telling
+        four, five, six = self.stems
         for w in self.reader.read(token):
-            if w in e.sure:
+            if w in sure:
                 found = w
                 break
-            if w in e.telling or any(w[:k] + "*" in e.telling for k in STEM_LENGTHS if len(w) > k):
+            if w in telling or (len(w) > 4 and (w[:4] in four or (w[:5] in five and len(w) > 5) or (w[:6] in six and len(w) > 6))):
                 found = ""
         self[token] = found
         return found
 
 
-def worst_window(places: list[int], gain: float, cost: float) -> float:
-    """The most that a stretch of tokens from one hit to another comes to, at a gain for each hit and a cost for each token.
+def worst_stretch(places: list[int], gain: float, cost: float) -> tuple[float, int, int]:
+    """The most that a stretch of tokens from one hit to another comes to, at a gain for each hit and a cost for each token; its hits and its tokens.
 
-    A stretch has MIN_HITS hits at least; -inf if there are fewer.
+    A stretch has MIN_HITS hits at least; there is none, at -inf, if there are fewer.
     """
-    best, start = -math.inf, -math.inf
+    best, start, first_hit, found = -math.inf, -math.inf, 0, (0, 0)
     for k, place in enumerate(places):
         first = k - MIN_HITS + 1
         if first >= 0:
-            start = max(start, places[first] * cost - first * gain)
-            best = max(best, start + (k + 1) * gain - (place + 1) * cost)
-    return best
+            begin = places[first] * cost - first * gain
+            if begin > start:
+                start, first_hit = begin, first
+            value = start + (k + 1) * gain - (place + 1) * cost
+            if value > best:
+                best, found = value, (k - first_hit + 1, place - places[first_hit] + 1)
+    return best, *found
 
 
-def score(text: str, scorer: TokenScorer) -> float:
-    """The chance that a text is toxic, from all its tokens with their restored readings, and from letters that stand apart.
+def worst_window(places: list[int], gain: float, cost: float) -> float:
+    return worst_stretch(places, gain, cost)[0]
 
-    Sure words decide alone. Of telling ones, as many must come in some stretch of the text as toxic texts of that length
-    have rather than others: the two counts are taken as Poisson, and the worst stretch counts, so that a passage weighs
-    the same alone and inside a long text.
-    """
+
+def findings(text: str, scorer: TokenScorer) -> tuple[list[int], set[str]]:
+    """The places of telling tokens in a restored text, in order, and the sure words in it."""
     e, sure, tokens = scorer.evidence, set(), text.split()
     told = {token: found for token in set(tokens) if (found := scorer[token]) is not None}
     sure.update(found for found in told.values() if found)
     places = [i for i, token in enumerate(tokens) if token in told] if told else []
     if scorer.reader.restorer:
+        at = done = 0
         for m in _SPACED.finditer(text):
-            joined = scorer.reader.restorer.decode(re.sub(r"[ .\-_]+", "", m.group(0)).lower())
-            found = [w for w in e.words() if len(w) > 3 and w in joined]
+            at, done = at + len(text[done : m.start()].split()), m.start()
+            joined = scorer.reader.restorer.letters(m.group(0).lower())
+            found = [w for w in scorer.spaced if w == joined or (len(w) > 3 and w in joined)]
             if found:
-                places.append(len(text[: m.start()].split()))
+                places.append(at)
             sure.update(w for w in found if w in e.sure)
+    return sorted(places), sure
+
+
+def _worst(places: list[int], e: Evidence) -> tuple[float, int, int]:
+    odds, hits, size = worst_stretch(places, math.log(e.toxic_rate / e.clean_rate), e.toxic_rate - e.clean_rate)
+    return odds + math.log(e.share / (1 - e.share)), hits, size
+
+
+def _features(places: list[int], sure: set[str], e: Evidence) -> list[float]:
+    odds, hits, size = _worst(places, e)
+    certain = -sum(math.log(1 - e.sure[w]) for w in sure)
+    return [max(-10.0, min(10.0, odds)), min(10.0, certain), math.log1p(hits), math.log1p(100 * hits / max(1, size)), float(bool(places))]
+
+
+def features_of(text: str, scorer: TokenScorer) -> list[float]:
+    """What the classifier sees of a whole restored text: its worst stretch's odds, hits and density, and its sure words.
+
+    None of them falls with the text's length.
+    """
+    return _features(*findings(text, scorer), scorer.evidence)
+
+
+def score(text: str, scorer: TokenScorer) -> float:
+    """The chance that a text is toxic, from all its tokens with their restored readings, and from letters that stand apart.
+
+    Of telling words, as many must come in some stretch of the text as toxic texts of that length have rather than others:
+    the two counts are taken as Poisson, and the worst stretch counts, so that a passage weighs the same alone and inside a
+    long text. A logistic regression that was fitted on the labelled texts weighs that together with sure words; without
+    one, sure words decide alone, and else the worst stretch.
+    """
+    e = scorer.evidence
+    places, sure = findings(text, scorer)
+    if e.weights:
+        if not places:
+            return 0.0
+        z = sum(a * b for a, b in zip(_features(places, sure, e), e.weights)) + e.weights[-1]
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
     rest = 1.0
     for w in sure:
         rest *= 1 - e.sure[w]
     if len(places) < MIN_HITS:
         return 1 - rest
-    odds = worst_window(sorted(places), math.log(e.toxic_rate / e.clean_rate), e.toxic_rate - e.clean_rate) + math.log(e.share / (1 - e.share))
-    return max(1 - rest, 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))))
+    return max(1 - rest, 1 / (1 + math.exp(-max(-700.0, min(700.0, _worst(places, e)[0])))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
@@ -436,10 +538,13 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lim
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns, and toxicity (0 to 1) and is_toxic.
 
-    The letter model counts all documents; word weights come from at most ``max_labelled`` labelled ones. Tokens that hold
-    digits or signs for letters, doubled letters, or letters that stand apart are read as lattices and decoded; a word
-    with doubled letters may be itself too; other tokens have one reading. Texts are read whole. A null, empty or wordless text has toxicity 0; without
-    toxic labels every text has. Repeated rows get the same result. Columns named toxicity or is_toxic are replaced.
+    The letter model counts all documents; words and the classifier come from at most ``max_labelled`` labelled ones. Tokens
+    that hold digits or signs for letters, doubled letters, or letters that stand apart are read as lattices and decoded; a
+    word with doubled letters may be itself too; other tokens have one reading. Texts of any length are read whole. A null,
+    empty or wordless text has toxicity 0; without toxic labels every text has. A chance that equals the threshold is toxic;
+    of readings that cost the same, the first one counts. Repeated rows get the same result, labels that repeat or have no
+    value count once or not at all. An empty table gives no rows. Columns named toxicity or is_toxic are replaced, others
+    are kept whatever their names.
     """
     docs = docs.drop("toxicity", "is_toxic")
     evidence = fit_words(labelled(docs, labels, id_col, text_col, max_labelled))
@@ -450,7 +555,7 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         costs, told = tables.value
-        scorer = TokenScorer(TokenReader(Restorer(costs, told.words())), told)
+        scorer = TokenScorer(TokenReader(Restorer(costs, told.words(), told.stems())), told)
         for batch in batches:
             for part in text_slices(batch, f"c{t}", 4_000_000):
                 s = [0.0 if x is None else score(x, scorer) for x in text_column(part, f"c{t}")]
