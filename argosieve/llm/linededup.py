@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from argosieve.llm import hashindex
 from argosieve.llm.common import read_table, text_column, text_slices
 
+#: The floor of ``dedup_lines`` where none is given; ``op6_line_dedup`` and the pipeline take every line that isn't blank.
 MIN_CHARS = 20
+#: Bytes of text that a task holds while it probes the index.
+HELD_BYTES = 64_000_000
 _NOBODY = np.iinfo(np.int64).max
 
 
@@ -24,7 +27,7 @@ def _hashes(texts: list[str | None], min_chars: int) -> tuple[np.ndarray, np.nda
     for own in lines:
         for line in own:
             key = line.strip(" ")
-            if len(key) >= min_chars and (len(key) >= MIN_CHARS or not key.isspace()):
+            if len(key) >= min_chars and not key.isspace():
                 h.append(digest(key.encode("utf-8", "surrogatepass")))
                 at.append(n)
             n += 1
@@ -55,10 +58,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows and columns, ``text`` without the lines that an earlier document holds, and n_lines, n_dropped.
 
     Lines are compared whole, without spaces at their ends, over all documents; lines of fewer than ``min_chars``
-    characters always stay, and so do short ones of white space alone. Of a line that repeats, the first occurrence in the document of the smallest id stays (in each
-    of its rows, if the id repeats); all others go. Ids are integers; documents without an id never keep a line that one
-    with an id holds. A null text stays null, with no lines; a text that loses every line becomes empty. Columns that are
-    named n_lines or n_dropped already are replaced.
+    characters always stay, and so do short ones of white space alone. Of a line that repeats, the first occurrence in the
+    document of the smallest id stays (in each of its rows, if the id repeats: rows that tie by id aren't told apart); all
+    others go. Ids are integers; documents without an id never keep a line that one with an id holds. A null text stays
+    null, with no lines; an empty one has one empty line, which stays; a text that loses every line becomes empty. Texts of
+    any length are read whole. An empty table gives no rows. Columns that are named n_lines or n_dropped already are
+    replaced, others are kept whatever their names.
     """
     docs = docs.drop("n_lines", "n_dropped")
     index = line_index(docs, id_col, text_col, min_chars)
@@ -67,7 +72,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t, k = names.index(text_col), len(names)
 
     def run(batches):
-        parts = [p for b in batches for p in text_slices(b, f"c{t}", 16_000_000)]
+        held, size = [], 0
+        for batch in batches:
+            for part in text_slices(batch, f"c{t}", 16_000_000):
+                held.append(part)
+                size += part.nbytes
+                if size > HELD_BYTES:
+                    yield from judge(held)
+                    held, size = [], 0
+        yield from judge(held)
+
+    def judge(parts):
         found = [_hashes(text_column(p, f"c{t}"), min_chars)[:2] for p in parts]
         sizes = [len(h) for h, _ in found]
         hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
@@ -102,15 +117,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return dedup_lines(read_table(spark, sf_dir, "documents"), min_chars=1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-OP6_SQL = f"""
+OP6_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL
 ), k AS (
-  SELECT *, length(trim(line)) < {MIN_CHARS} OR row_number() OVER (PARTITION BY trim(line) ORDER BY doc_id, pos) = 1 AS stays FROM l
+  SELECT *, regexp_full_match(line, '\\s*') OR row_number() OVER (PARTITION BY trim(line) ORDER BY doc_id, pos) = 1 AS stays FROM l
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '') AS text,
        count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped
