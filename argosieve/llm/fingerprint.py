@@ -13,8 +13,12 @@ from argosieve.llm.exactgroups import exact_groups
 
 
 def canonical(text: str) -> bytes:
-    """The text in normal form C and lower case, with single spaces for runs of white space and none at the ends."""
-    return " ".join(unicodedata.normalize("NFC", text).lower().split()).encode("utf-8", "surrogatepass")
+    """The text in normal form C with case folded, and single spaces for runs of white space, none at the ends.
+
+    Folding may leave letters apart from their marks, so the form is restored after it.
+    """
+    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    return " ".join(folded.split()).encode("utf-8", "surrogatepass")
 
 
 def digest(body: bytes) -> bytes:
@@ -25,8 +29,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows (doc_id, digest, canonical_bytes, group_id, group_size) for every document.
 
     Documents group by a 128-bit xxhash of their canonical text; inside equal digests the canonical bytes themselves are
-    compared, and unequal ones are put apart. ``group_id`` is the smallest id of the group (null if all are null). A null
-    text has a null digest and is alone; empty and blank texts are equal. Repeated rows count each. Other columns are left out.
+    compared, and unequal ones are put apart. ``group_id`` is the smallest id of the group (null if all are null), so ties
+    don't matter. A null text has a null digest and is alone; empty and blank texts are equal; texts of any length are read
+    whole. Repeated rows count each. An empty table gives no rows. Other columns, whatever their names, are left out.
     """
     groups = exact_groups(docs, id_col, text_col, canonical, digest, "fingerprint")
     out = groups.select(F.col("id").alias(id_col), F.lower(F.hex("digest")).alias("digest"), F.col("n_bytes").alias("canonical_bytes"), F.col("keeper").alias("group_id"), F.col("n").alias("group_size"))
