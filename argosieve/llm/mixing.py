@@ -45,19 +45,21 @@ def mix(docs: DataFrame, schedule: tuple = SCHEDULE, weights: dict[str, list[flo
     equal to the run's tokens times the integral of the source's weight, and solved for the time: its position. The run has
     as many tokens as it can without a source running out; documents beyond that aren't taken. With ``whole``, each source's
     integral is scaled to its own tokens instead: every document is taken once, whatever the sizes of other sources, a
-    source's tokens follow the course of its weight, and its share is the weight only as far as its tokens allow. The output is sorted and
-    partitioned by ranges of the position, which are even, as equal times hold equal tokens.
+    source's tokens follow the course of its weight, and its share is the weight only as far as its tokens allow. The output
+    is sorted and partitioned by ranges of the position, which are even, as equal times hold equal tokens.
 
     Order and sums don't need a source in one task: documents are summed inside 4096 buckets of the order, then buckets.
-    ``size_col`` may hold the rows' tokens; else they are taken from the text. Rows with a null text (or size), or with a source of weight zero, aren't taken. A null source is one source, named ''. Rows with
-    equal ids come one after the other, shorter first. An empty table gives no rows. Columns named n_tokens or position
-    are replaced.
+    ``size_col`` may hold the rows' tokens; else they are taken from the text, by its length. Rows with a null text (or
+    size), or with a source of weight zero, aren't taken. A null source is one source, named ''. An empty text counts as one
+    token, a very long one by its whole length. Rows with equal ids come one after the other, shorter first, and a hash of
+    all their columns settles further ties; rows that repeat are taken each. An empty table gives no rows. Columns named
+    n_tokens or position are replaced, others are kept whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_tokens", "position")
     names = docs.columns
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    src = docs.filter(docs[size_col or text_col].isNotNull()).select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].alias("id"), F.coalesce(docs[source_col], F.lit("")).alias("src"), (docs[size_col].cast("bigint") if size_col else tokens(text_col)).alias("n"), key.alias("o"))
+    src = docs.filter(docs[size_col or text_col].isNotNull()).select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].alias("id"), F.coalesce(docs[source_col], F.lit("")).alias("src"), (docs[size_col].cast("bigint") if size_col else tokens(text_col)).alias("n"), key.alias("o"), F.xxhash64(*[docs[c] for c in names]).alias("tie"))
     src = src.withColumn("b", F.substring("o", 1, 3))
     parts = src.groupBy("src", "b").agg(F.sum("n").alias("part"))
     before = parts.withColumn("before", F.sum("part").over(Window.partitionBy("src").orderBy("b")) - F.col("part"))
@@ -65,7 +67,7 @@ def mix(docs: DataFrame, schedule: tuple = SCHEDULE, weights: dict[str, list[flo
     ends = segs.groupBy("src").agg(F.max("a1").alias("all_a"))
     totals = parts.groupBy("src").agg(F.sum("part").alias("tokens"))
     own = totals.join(ends, "src").filter("all_a > 0").select("src", "all_a", (F.greatest(F.col("tokens"), F.lit(1)) / F.col("all_a")).alias("run"))
-    order = Window.partitionBy("src", "b").orderBy("o", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("src", "b").orderBy("o", "id", "n", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = src.withColumn("inside", F.sum("n").over(order)).join(before.select("src", "b", "before"), ["src", "b"])
     middle = F.col("before") + F.col("inside") - F.col("n") / 2
     if whole:
