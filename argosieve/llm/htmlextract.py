@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ def parse(source: str) -> Page:
     """Builds the tree of a page; tags that are left open or closed twice are mended as browsers would, roughly."""
     page = Page()
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     links, marks, block, blank = 0, 0, 0, False
 
     def add(tag: int, clue: int, length: int) -> int:
@@ -69,6 +71,7 @@ def parse(source: str) -> Page:
     def pop() -> None:
         nonlocal links, marks, block
         name = stack.pop()[0]
+        opened[name] -= 1
         links -= name == "a"
         marks -= name in _MARKUP
         block += name in _BLOCK
@@ -91,11 +94,10 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if m.group(2):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    while len(stack) > k:
-                        pop()
-                    break
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
         closes = _CLOSES.get(name)
         if closes:
@@ -110,6 +112,7 @@ def parse(source: str) -> Page:
         node = add(_TAG_ID.get(name, len(_TAGS)), _clue(m.group(4)) if "=" in m.group(4) else 0, 0)
         if name not in _VOID and not m.group(4).endswith("/"):
             stack.append((name, node))
+            opened[name] += 1
             links += name == "a"
             marks += name in _MARKUP
     text(source[at:])
@@ -222,8 +225,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", m
     """Rows (page_id, text, n_nodes, n_content): each page's main text, and how many nodes it has and how many are content.
 
     A node is content if its marginal chance is a half or more. A null page gives a null text and no nodes, an empty one an
-    empty text. Pages without markup are one text node each. Repeated rows get the same result; without labelled pages the
-    model knows nothing and takes every text node. Other columns are left out.
+    empty text. Pages without markup are one text node each; pages of any length or depth are read whole, in time that grows
+    with their length. Repeated rows get the same result, and nothing is ordered, so there are no ties. Without labelled
+    pages the model knows nothing and takes every text node. An empty table gives no rows. Other columns, whatever their
+    names, are left out.
     """
     model = model or train(pages, html_col, max_labelled)
     tables = pages.sparkSession.sparkContext.broadcast(model)
