@@ -18,7 +18,8 @@ def encode(docs: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", tex
     """Rows (id, n_tokens, ids, exact); ``exact`` tells that the ids decode to the text's very bytes.
 
     The vocabulary is read on the driver and broadcast; its size doesn't depend on the data. A null text gives nulls, an
-    empty one no ids. Texts of any length are encoded whole. Rows that repeat are encoded each; other columns are left out.
+    empty one no ids. Texts of any length are encoded whole; exactly one encoding fits the merges, so there are no ties.
+    Rows that repeat are encoded each, an empty table gives no rows. Other columns, whatever their names, are left out.
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(load_vocab(vocab_path))
@@ -45,6 +46,26 @@ def encode(docs: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", tex
     return out.withColumnRenamed("k", id_col)
 
 
+def with_counts(docs: DataFrame, name: str, vocab_path: str = VOCAB, text_col: str = "text") -> DataFrame:
+    """All rows and columns, and how many ids each text has, in column ``name`` (a bigint, null for a null text)."""
+    tables = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
+    names = docs.columns
+    t = f"c{names.index(text_col)}"
+    src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
+
+    def run(batches):
+        enc = worker_encoder(vocab_path, tables.value)
+        for batch in batches:
+            for part in text_slices(batch, t, 4_000_000):
+                texts = text_column(part, t)
+                coded = enc.encode_texts([x or "" for x in texts])
+                n = pa.array([len(c) // enc.dtype.itemsize for c in coded], pa.int64(), mask=np.array([x is None for x in texts], bool))
+                yield pa.RecordBatch.from_arrays([*part.columns, n], [*part.schema.names, "n"])
+
+    out = src.mapInArrow(run, T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)), T.StructField("n", T.LongType())]))
+    return out.select(*[out[f"c{i}"].alias(c) for i, c in enumerate(names)], out["n"].alias(name))
+
+
 def decode(coded: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Rows (id, text) from rows with ids. Null ids give a null text; bytes that aren't UTF-8 are replaced by U+FFFD."""
     tables = coded.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))

@@ -12,11 +12,14 @@ from __future__ import annotations
 import base64
 import json
 import re
+from functools import cache
 
 import numpy as np
 import regex
 
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: From so few pieces on, those that are left are finished one by one.
+FEW = 6
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -81,6 +84,7 @@ def _merge(ranks: dict[bytes, int], token: bytes) -> list[bytes]:
     return parts
 
 
+@cache
 def load_vocab(path: str) -> dict[str, np.ndarray]:
     """Arrays of a vocabulary file: ranks (``*.tiktoken``) or a byte-level BPE (``*.json``)."""
     if path.endswith(".json"):
@@ -160,6 +164,7 @@ class Encoder:
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
+        self.plain: dict[str, list | dict] = {}
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether token b may follow token a: undoing merges from the latest on, no earlier merge joins across the border."""
@@ -207,6 +212,11 @@ class Encoder:
         alive = np.searchsorted(-sorted_lens, -np.arange(longest), side="left")
         for i in range(longest):
             n = int(alive[i])
+            if n <= FEW:
+                for k in range(n):
+                    a = int(starts[k])
+                    self._finish(flat, last, a, i, a + int(sorted_lens[k]), int(state[k]))
+                break
             here = starts[:n] + i
             s = state[:n] = self._step(state[:n], flat[here].astype(np.int64))
             todo, cand = np.arange(n), out[s]
@@ -240,6 +250,54 @@ class Encoder:
             ids[begin[idx] + count[idx] - 1 - k] = t
         return ids, ends
 
+    def _finish(self, flat: np.ndarray, last: np.ndarray, start: int, done: int, end: int, state: int) -> None:
+        """The last tokens of one piece's prefixes from ``done`` bytes on, byte by byte: arrays pay only for many pieces."""
+        if not self.plain:
+            a = self.a
+            lists = {k: a[k].tolist() for k in ("left", "right", "fail", "out", "next_out", "token_of", "depth")}
+            self.plain = lists | {"edges": dict(zip(a["edge_keys"].tolist(), a["edge_to"].tolist())), "pairs": dict(zip(a["pair_keys"].tolist(), a["pair_to"].tolist())), "fit": {}}
+        p = self.plain
+        edges, fail, out, next_out, token_of, depth, fit = (p[k] for k in ("edges", "fail", "out", "next_out", "token_of", "depth", "fit"))
+        if len(fit) > self.keep:
+            fit.clear()
+        ends = last[start : start + done].tolist()
+        for byte in flat[start + done : end].tolist():
+            nxt = edges.get(state << 8 | byte)
+            while nxt is None and state:
+                state = fail[state]
+                nxt = edges.get(state << 8 | byte)
+            state = nxt or 0
+            node, size = out[state], len(ends) + 1
+            while node >= 0:
+                token, before = token_of[node], size - depth[node]
+                if not before:
+                    break
+                pair = ends[before - 1] << 20 | token
+                ok = fit.get(pair)
+                if ok is None:
+                    ok = fit[pair] = self._fits(ends[before - 1], token)
+                if ok:
+                    break
+                node = next_out[node]
+            if node < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            ends.append(token)
+        last[start:end] = ends
+
+    def _fits(self, a: int, b: int) -> bool:
+        """As ``compatible``, for one pair."""
+        left, right, pairs, limit = self.plain["left"], self.plain["right"], self.plain["pairs"], 1 << 30
+        while True:
+            if pairs.get(a << 20 | b, limit) < limit:
+                return False
+            na, nb = right[a], left[b]
+            if na == a and nb == b:
+                return True
+            if na != a and (a > b or nb == b):
+                a, limit = na, a
+            else:
+                b, limit = nb, b + 1
+
     def _code(self, pieces: list[str]) -> list[bytes]:
         ids, ends = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in pieces])
         raw, w = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
