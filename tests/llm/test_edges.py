@@ -72,7 +72,7 @@ def test_fingerprints(nasty, empty):
 
 def test_exact_dedup(spark, nasty, empty):
     path = shared_dir(spark, "exact-in")
-    nasty.drop("path", "row").write.parquet(path)
+    nasty.write.parquet(path)
     got = exactdedup.stream_dedup(spark, path).collect()
     by = Counter((r["doc_id"], r["keeper_id"], r["is_duplicate"]) for r in got)
     assert len(got) == N and by[(1, 1, False)] == 1 and by[(1, 1, True)] == 1 and by[(2, 1, True)] == 1 and by[(3, 3, False)] == 1 and by[(None, None, False)] == 2
