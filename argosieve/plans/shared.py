@@ -9,14 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new name under ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder takes its place."""
+    """A new name in this application's folder under ``spark.checkpoint.dir``, with the scheme of its file system.
+
+    A folder without a scheme is on Hadoop's default file system. Where the setting is missing, a local session, as in
+    tests, gets a temporary folder; on a cluster that is an error, as its machines would not share it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="argosieve-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that it lies on: Hadoop's default one if it names none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame, least_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of a small table over all cores; a large one as it is.
+
+    A small file may be one row group, which is one task however many cores there are. Tables that Spark estimates at more
+    than ``least_bytes`` for each core have splits enough, so nothing that grows is moved. Column order and rows stay.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < least_bytes * cores else df
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
