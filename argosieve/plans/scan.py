@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from argosieve.operators.extract import TYPES, extract
 from argosieve.operators.lookup import lookup_many
 from argosieve.plans.indicators import IndicatorSet
-from argosieve.plans.shared import materialize
+from argosieve.plans.shared import materialize, spread
 
 
 def types_for(isets: list[IndicatorSet]) -> tuple[str, ...]:
@@ -27,14 +27,15 @@ def match_items(items: DataFrame, isets: list[IndicatorSet]) -> DataFrame:
     return items.join(hits, items["value"] == hits["text"]).select(*[items[c] for c in keep], F.col("text").alias("matched_text"), "database_id", "match_type", "prefix_len", "cidr", "pattern_count", "data")
 
 
-def scan(df: DataFrame, text_col: str, isets: list[IndicatorSet], types: tuple[str, ...] | None = None, min_labels: int = 2, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+def scan(df: DataFrame, text_col: str, isets: list[IndicatorSet], types: tuple[str, ...] | None = None, min_labels: int = 2, keep: Callable[[DataFrame, str], DataFrame] = materialize, boundaries: bool = True, spans: bool = False) -> DataFrame:
     """A row for each item and set that match: the columns of ``df`` but the text, item_type, matched_text, database_id,
-    match_type, prefix_len, cidr, pattern_count, data.
+    match_type, prefix_len, cidr, pattern_count, data; with ``spans`` also start and end, the item's place in the text's bytes.
 
     The text is read once: its items, which are small beside it, are written by ``keep`` before they are looked up.
     """
     types = types_for(isets) if types is None else types
-    return match_items(keep(extract(df, text_col, types or ("IPv4",), min_labels), "items"), isets)
+    src = df if df.isStreaming else spread(df)
+    return match_items(keep(extract(src, text_col, types or ("IPv4",), min_labels, boundaries=boundaries, spans=spans), "items"), isets)
 
 
 def to_ndjson(matches: DataFrame, source: str | None = None, timestamp: str = "0.000") -> DataFrame:
@@ -51,7 +52,7 @@ def items_json(items: DataFrame) -> DataFrame:
 
 def scan_stats(df: DataFrame, text_col: str, isets: list[IndicatorSet], id_col: str) -> DataFrame:
     """One row about a scan: lines, bytes, candidates, matches, lines_with_matches and match_rate."""
-    items = materialize(extract(df.select(id_col, text_col), text_col, types_for(isets) or ("IPv4",)), "items")
+    items = materialize(extract(spread(df.select(id_col, text_col)), text_col, types_for(isets) or ("IPv4",)), "items")
     matches = match_items(items, isets)
     a = df.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length(text_col).cast("bigint")), F.lit(0)).alias("bytes"))
     b = items.agg(F.count(F.lit(1)).alias("candidates"))
@@ -60,6 +61,6 @@ def scan_stats(df: DataFrame, text_col: str, isets: list[IndicatorSet], id_col:
 
 
 def type_counts(df: DataFrame, text_col: str, types: tuple[str, ...] = TYPES) -> DataFrame:
-    return extract(df, text_col, types).groupBy("item_type").agg(F.count(F.lit(1)).alias("n"))
+    return extract(spread(df.select(text_col)), text_col, types).groupBy("item_type").agg(F.count(F.lit(1)).alias("n"))
 
 

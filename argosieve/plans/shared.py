@@ -43,12 +43,17 @@ def spread(df: DataFrame, least_bytes: int = 32 << 20) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < least_bytes * cores else df
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lost executors lose nothing of it."""
-    path, schema = shared_dir(df.sparkSession, tag), df.schema
+    return stored(df, shared_dir(df.sparkSession, tag))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as Parquet at ``path``, read back."""
+    schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
