@@ -44,14 +44,24 @@ def read_logs(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.createDataFrame([x for x in lines if x[1]], "source string, text string")
 
 
-def follow_logs(spark: SparkSession, pattern: str, sets: list, checkpoint: str) -> None:
-    """Prints the matches of lines as they come, until it is stopped; saved sets are reloaded when they change."""
+def follow_logs(spark: SparkSession, files: list[str], sets: list, checkpoint: str, types: tuple[str, ...] | None = None, form: str = "json", out: str | None = None) -> None:
+    """Gives the matches of lines as they come, until it is stopped; saved sets are reloaded when they change.
 
-    def show(matches: DataFrame, _: int) -> None:
-        for r in to_ndjson(matches, "source", time.strftime("%s.000")).toLocalIterator():
+    Matches, or their number where ``form`` is summary, are printed, or go to a folder for each batch under ``out``.
+    """
+
+    def show(matches: DataFrame, number: int) -> None:
+        if form == "summary":
+            lines = matches.groupBy().agg(F.count(F.lit(1)).alias("matches")).select(F.to_json(F.struct(F.lit(number).alias("batch"), "matches")))
+        else:
+            lines = to_ndjson(matches, "source", time.strftime("%s.000"))
+        if out:
+            lines.write.mode("overwrite").text(f"{out}/batch={number}")
+            return
+        for r in lines.toLocalIterator():
             print(r[0], flush=True)
 
-    query = follow(tail(spark, pattern), sets, show, checkpoint)
+    query = follow(tail(spark, "\n".join(files)), sets, show, checkpoint, types=types)
     try:
         query.awaitTermination()
     except KeyboardInterrupt:
@@ -95,6 +105,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("-o", "--output", required=True)
     b.add_argument("-f", "--format", choices=("text", "csv", "json", "misp", "mmdb"))
     b.add_argument("-i", "--case-insensitive", action="store_true")
+    b.add_argument("--metadata", choices=("full", "minimal", "threatdb"), default="full", help="what entries of events tell")
     b.add_argument("--database-type")
     b.add_argument("--schema", choices=("threatdb",))
     b.add_argument("-d", "--description")
@@ -134,7 +145,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session()
     if a.command == "build":
-        feeds = [mmdb_feed(spark, f) if a.format == "mmdb" or f.endswith(".mmdb") else load_feed(spark, f, a.format) for f in a.feeds]
+        feeds = [mmdb_feed(spark, f) if a.format == "mmdb" or f.endswith(".mmdb") else load_feed(spark, f, a.format, a.metadata) for f in a.feeds]
         iset = build(concat_feeds(feeds), a.output, a.case_insensitive, a.schema, {a.desc_lang: a.description} if a.description else None, a.database_type)
         print(json.dumps({"version": iset.save(a.output), **iset.meta["counts"]}))
     elif a.command == "extract":
@@ -145,7 +156,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "match":
         if a.follow:
             saved = not a.database.endswith((".mmdb", ".json", ".csv", ".txt"))
-            follow_logs(spark, a.files[0], [Reloading(spark, a.database) if saved else open_set(spark, a.database)], a.follow)
+            follow_logs(spark, a.files, [Reloading(spark, a.database) if saved else open_set(spark, a.database)], a.follow, choose(a.extractors) if a.extractors else None, a.format, a.output)
             return 0
         sets, lines = [open_set(spark, a.database)], read_logs(spark, a.files)
         if a.format == "summary":

@@ -82,14 +82,14 @@ def rows_feed(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return df.withColumn("data_json", canonical_json(F.col("data_json")))
 
 
-def load_feed(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def load_feed(spark: SparkSession, path: str, kind: str | None = None, mode: str = "full") -> DataFrame:
     """A feed by its kind, or by the file's ending: .json, .csv, and text for the rest."""
     kind = kind or ("json" if path.endswith(".json") else "csv" if path.endswith(".csv") else "text")
     readers = {"text": text_feed, "csv": csv_feed, "json": json_feed}
     if kind == "misp":
         from argosieve.sources.misp import misp_feed
 
-        return misp_feed(spark, path)
+        return misp_feed(spark, path, mode)
     if kind not in readers:
         raise ValueError(f"unknown feed format: {kind}")
     return readers[kind](spark, path)

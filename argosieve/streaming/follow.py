@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from argosieve.plans.indicators import IndicatorSet, current_version
 from argosieve.plans.scan import scan
+from argosieve.plans.shared import discard, shared_dir, stored
 from argosieve.streaming.tail import TailSource
 
 
@@ -48,22 +49,25 @@ def tail(spark: SparkSession, pattern: str, chunk_bytes: int = 32 << 20) -> Data
     return spark.readStream.format("tail").option("chunkbytes", str(chunk_bytes)).load(pattern)
 
 
-def follow(lines: DataFrame, sets: list[IndicatorSet | Reloading], sink: Callable[[DataFrame, int], None], checkpoint: str, text_col: str = "text", available_now: bool = False) -> StreamingQuery:
-    """Starts the scan of a stream of lines; every batch's matches go to ``sink``, with the batch's number."""
+def follow(lines: DataFrame, sets: list[IndicatorSet | Reloading], sink: Callable[[DataFrame, int], None], checkpoint: str, text_col: str = "text", available_now: bool = False, types: tuple[str, ...] | None = None) -> StreamingQuery:
+    """Starts the scan of a stream of lines; every batch's matches go to ``sink``, with the batch's number.
+
+    A batch's items are in the shared folder while it runs, so lost executors lose nothing of it.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         now = [s.get() if isinstance(s, Reloading) else s for s in sets]
-        held: list[DataFrame] = []
+        held: list[str] = []
 
-        def keep(items: DataFrame, _: str) -> DataFrame:
-            held.append(items.persist())
-            return held[-1]
+        def keep(items: DataFrame, tag: str) -> DataFrame:
+            held.append(shared_dir(items.sparkSession, tag))
+            return stored(items, held[-1])
 
         try:
-            sink(scan(df, text_col, now, keep=keep), number)
+            sink(scan(df, text_col, now, types, keep=keep), number)
         finally:
-            for items in held:
-                items.unpersist()
+            for path in held:
+                discard(df.sparkSession, path)
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,6 +1,6 @@
 """Growing files as a stream of lines: ``spark.readStream.format("tail").load(glob)`` gives (source, text).
 
-An offset holds, for each file, the place behind its last whole line and the file's identity. What was there at first is
+The path may be several patterns, one a line. An offset holds, for each file, the place behind its last whole line and the file's identity. What was there at first is
 read, then what is appended; a line is read when it is whole. A file that shrank or was replaced is read from its start, one
 that is gone is left out. The driver only looks at sizes; tasks read ranges of bytes. Paths must be visible to all executors.
 """
@@ -38,14 +38,14 @@ class _Range(InputPartition):
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, pattern: str, chunk: int):
-        self.pattern, self.chunk = pattern.removeprefix("file://").removeprefix("file:"), chunk
+        self.patterns, self.chunk = [p.removeprefix("file://").removeprefix("file:") for p in pattern.split("\n")], chunk
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
         out = {}
-        for path in sorted(glob.glob(self.pattern)):
+        for path in sorted({x for p in self.patterns for x in glob.glob(p)}):
             try:
                 s = os.stat(path)
                 out[path] = [last_line_end(path, s.st_size), s.st_ino]
