@@ -11,6 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argosieve.functions.crypto import monero_address
 from argosieve.functions.ip import OCTET, format_cidr, long_to_ipv4
 from argosieve.functions.suffixes import decisive, load
 from argosieve.functions.synth import synthetic
@@ -20,13 +21,16 @@ from argosieve.operators.quality import threatdb_violations
 from argosieve.operators.values import flatten, format_bytes, format_number, format_rate, path_get
 from argosieve.plans.indicators import IndicatorSet, build, builder_stats
 from argosieve.plans.scan import items_json, scan, scan_stats, to_ndjson
-from argosieve.plans.shared import shared_dir
+from argosieve.plans.shared import shared_dir, spread
 from argosieve.sources import misp
-from argosieve.sources.feeds import canonical_json, coerce, concat_feeds, entries_from_table
+from argosieve.sources.feeds import canonical_json, coerce, concat_feeds, csv_feed, entries_from_table, json_feed, text_feed
+from argosieve.sources.logs import log_lines
 from argosieve.sources.mmdb import export_mmdb, read_mmdb
-from argosieve.streaming.follow import follow, tail
+from argosieve.streaming.follow import Reloading, follow, tail
 
 BASE = 10 << 24
+#: An address with a sound checksum, made from a hash.
+MONERO = monero_address(b"argosieve")
 HASH_TYPES = ("MD5", "SHA1", "SHA256", "SHA384", "SHA512")
 
 
@@ -101,7 +105,7 @@ def _url_items(min_labels: int = 2):
 
 
 def _all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _COMMON_TYPES)
+    return extract(spread(table(spark, sf_dir, "documents").select("text")), "text", _COMMON_TYPES)
 
 
 CHECKED_TOKENS = [
@@ -642,6 +646,122 @@ def saved_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ips.join(hits, ips["ip"] == hits["text"]).select("c_custkey", "ip", F.col("matched_prefix_len").cast("bigint").alias("matched_prefix_len"), "network", "data_json")
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ("IPv4", *HASH_TYPES), spans=True)
+
+
+def extract_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their places in the text's bytes."""
+    return _spans(spark, sf_dir).select("doc_id", "item_type", "value", "start", "end")
+
+
+_KIND_SQL = f"CASE WHEN regexp_full_match(t, '{OCTET}(\\.{OCTET}){{3}}') THEN 'IPv4' " + " ".join(f"WHEN regexp_full_match(t, '[0-9a-fA-F]{{{n}}}') THEN '{k}'" for k, n in zip(HASH_TYPES, (32, 40, 64, 96, 128))) + " END"
+_SPANS_SQL = f"""SELECT doc_id, item_type, t AS value, start, start + strlen(t) AS "end" FROM (
+SELECT doc_id, t, {_KIND_SQL} AS item_type, CAST(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - strlen(t) - 1 AS BIGINT) AS start
+FROM (SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '{_SPLIT}') AS a FROM documents))) WHERE item_type IS NOT NULL"""
+
+
+def scan_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", [document_set(spark)], spans=True)
+    return found.select("doc_id", "matched_text", "start", "end")
+
+
+def extract_inside_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses inside longer words, which only count without boundaries."""
+    c = addresses(spark, sf_dir)
+    lines = c.select("c_custkey", F.concat(F.lit("x_"), F.col("ip"), F.lit("_y u"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com!z")).alias("line"))
+    return extract(lines, "line", ("IPv4", "Email", "Domain"), boundaries=False).select("c_custkey", "item_type", "value")
+
+
+_INSIDE_SQL = f"""SELECT c_custkey, 'IPv4' AS item_type, {_dotted(f"CAST({BASE} + c_custkey AS BIGINT)")} AS value FROM customer
+UNION ALL SELECT c_custkey, 'Email', 'u' || c_custkey || '@mail.example.com' FROM customer UNION ALL SELECT c_custkey, 'Domain', 'mail.example.com' FROM customer"""
+
+
+def extract_monero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address with a sound checksum in every other line, and one with a letter changed in the rest."""
+    word = F.when(F.col("c_custkey") % 2 == 0, F.lit(MONERO)).otherwise(F.lit(MONERO[:50] + ("x" if MONERO[50] != "x" else "y") + MONERO[51:]))
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("pay <"), word, F.lit("> now")).alias("line"))
+    return extract(lines, "line", ("Monero", "Bitcoin")).select("c_custkey", "item_type", "value")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("key"), F.col("s_nationkey").cast("string").alias("nation"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise(F.col("s_name")).alias("label"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of lines, with blank ones and comments, written and read."""
+    path = shared_dir(spark, "feed-text")
+    names = table(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(F.lit("  "), F.col("s_name"), F.lit(" ")), F.lit(""), F.lit("# nothing"))).alias("value"))
+    names.write.text(path)
+    return text_feed(spark, path).select("key", "data_json")
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "feed-csv")
+    _cells(spark, sf_dir).select("nation", "key", "label").write.csv(path, header=True, escape='"')
+    return csv_feed(spark, path).select("key", "data_json")
+
+
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold an array of entries each."""
+    path = shared_dir(spark, "feed-json")
+    cells = _cells(spark, sf_dir)
+    data = F.struct(F.col("nation").cast("bigint").alias("nation"), F.when(F.col("label") != "", F.col("label")).alias("label"))
+    rows = cells.select(F.to_json(F.struct("key", data.alias("data"))).alias("row"), F.pmod(F.xxhash64("key"), F.lit(8)).cast("int").alias("b"))
+    rows.groupBy("b").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value")).repartitionById(8, "b").select("value").write.text(path)
+    return json_feed(spark, path).select("key", "data_json")
+
+
+def misp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in a file each, beside files that hold none."""
+    path = shared_dir(spark, "feed-misp")
+    events = events_json(spark, sf_dir).unionByName(spark.createDataFrame([('{"no":"event"}',)], "value string"))
+    events.withColumn("f", F.md5("value")).repartition("f").write.partitionBy("f").text(path)
+    return misp.misp_feed(spark, f"{path}/*/*").select("key", "kind", canonical_json(F.col("data_json")).alias("data_json"))
+
+
+def gzip_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "logs-gzip")
+    _log(spark, sf_dir).select(F.concat(F.lit(" "), F.col("line"), F.lit("  ")).alias("line")).write.option("compression", "gzip").text(path)
+    return log_lines(spark, path).select(F.col("text").alias("line"))
+
+
+def hot_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups in a set that was replaced after it had been opened."""
+    path = shared_dir(spark, "set-reload")
+    build(prefix_entries(spark, sf_dir)).save(path)
+    held = Reloading(spark, path)
+    build(prefix_entries(spark, sf_dir, least=28)).save(path)
+    ips, now = addresses(spark, sf_dir), held.get()
+    if held.generation != 2:
+        raise RuntimeError("the new version was not loaded")
+    hits = lk.lookup_ip(ips, "ip", now)
+    return ips.join(hits, ips["ip"] == hits["text"]).select("c_custkey", F.col("matched_prefix_len").cast("bigint").alias("matched_prefix_len"), "data_json")
+
+
+def checked_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set that is built under the threat schema and a check of one's own, and what it holds."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    data = F.to_json(F.struct(level.alias("threat_level"), F.lit("malware").alias("category"), F.col("s_name").alias("source"), (F.col("s_suppkey") % 101).alias("confidence")))
+    entries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("literal:"), F.col("s_name")).alias("key"), data.alias("data_json"))
+    build(entries, check=lambda c: F.when(F.length(c) > 1000, F.array(F.struct(F.lit("").alias("path"), F.lit("is too long").alias("message")))).otherwise(F.array().cast("array<struct<path:string,message:string>>")))
+    return build(entries, schema="threatdb").literals.select(F.col("key"), path_get(F.col("data_json"), ["threat_level"]).alias("level"), path_get(F.col("data_json"), ["confidence"]).cast("bigint").alias("confidence"))
+
+
+_CHECKED_INSERT_SQL = "SELECT s_name AS key, CASE s_suppkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS level, s_suppkey % 101 AS confidence FROM supplier"
+
+
+def ndjson_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of globs as lines of JSON, with the payloads as an array."""
+    found = scan(_log(spark, sf_dir), "line", [_host_set(spark, "hosts", ["h1*.example.com", "*7.example.com"])])
+    return to_ndjson(found.withColumn("src", F.concat(F.lit("line-"), F.col("c_custkey").cast("string"))), "src")
+
+
+_NDJSON_PATTERNS_SQL = f"""WITH t AS (SELECT c_custkey, 'h' || (c_custkey % 50) || '.example.com' AS host FROM customer),
+g AS (SELECT c_custkey, host, count(*) AS n, string_agg(v.j, ',' ORDER BY v.i) AS d FROM t JOIN {_values([(0, "h1%.example.com", '{"p":0}'), (1, "%7.example.com", '{"p":1}')], "i, t, j")} ON host LIKE v.t GROUP BY 1, 2)
+SELECT '{{"timestamp":"0.000","source":"line-' || c_custkey || '","matched_text":"' || host || '","match_type":"pattern","pattern_count":' || n || ',"data":[' || d || ']}}' AS value FROM g"""
+
+
 def bench_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "customer").count()
     return synthetic(spark, "ip", n).select("seq", "key")
@@ -703,6 +823,18 @@ QUERIES = {
     "tail_lines": (tail_lines, _TAIL_SQL),
     "binary_database": (binary_database, _BINARY_SQL),
     "saved_set": (saved_set, _LPM_SQL),
+    "extract_spans": (extract_spans, _SPANS_SQL),
+    "scan_offsets": (scan_offsets, f"SELECT doc_id, value AS matched_text, start, \"end\" FROM ({_SPANS_SQL}) WHERE item_type = 'IPv4'"),
+    "extract_inside_words": (extract_inside_words, _INSIDE_SQL),
+    "extract_monero": (extract_monero, f"SELECT c_custkey, 'Monero' AS item_type, '{MONERO}' AS value FROM customer WHERE c_custkey % 2 = 0"),
+    "text_files": (text_files, "SELECT s_name AS key, '{}' AS data_json FROM supplier"),
+    "csv_files": (csv_files, _FEED_SQL),
+    "json_files": (json_files, _FEED_SQL),
+    "misp_files": (misp_files, _misp_sql("full")),
+    "gzip_logs": (gzip_logs, _TAIL_SQL),
+    "hot_reload": (hot_reload, f"WITH {_prefix_sql(least=28)} SELECT c_custkey, len AS matched_prefix_len, data_json FROM best"),
+    "checked_insert": (checked_insert, _CHECKED_INSERT_SQL),
+    "ndjson_patterns": (ndjson_patterns, _NDJSON_PATTERNS_SQL),
 }
 
 
