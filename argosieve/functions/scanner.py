@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from argosieve.functions import crypto
 from argosieve.functions.ip import OCTET, parse_ipv6
@@ -24,8 +25,13 @@ _LOOSE_ETH = re.compile(rb"0x[0-9a-fA-F]{40}")
 _SIZES = {32: "MD5", 40: "SHA1", 64: "SHA256", 96: "SHA384", 128: "SHA512"}
 
 
+@lru_cache(maxsize=8)
+def _most_labels(suffixes: frozenset[str]) -> int:
+    return max((s.count(".") + 1 for s in suffixes), default=0)
+
+
 def _public(name: str, suffixes: frozenset[str]) -> bool:
-    labels = name.split(".")
+    labels = name.rsplit(".", _most_labels(suffixes) + 1)
     return any(".".join(labels[i:]) in suffixes for i in range(1, len(labels))) and not (len(labels) == 2 and not labels[0])
 
 

@@ -3,6 +3,7 @@
 import ipaddress
 import json
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from argosieve.functions import crypto, globs
 from argosieve.functions.scanner import scan
-from argosieve.operators.extract import TYPES, choose, extract
+from argosieve.operators.extract import BOUNDARY, TYPES, choose, extract
 from argosieve.operators.lookup import lookup_ip, lookup_string
 from argosieve.plans.indicators import build
 from argosieve.sources.feeds import rows_feed
@@ -124,3 +125,86 @@ def test_strings_and_globs_together(spark):
     got = {r["text"]: list(zip(r["pattern_ids"], r["data"])) for r in lookup_string(spark.createDataFrame([("evil.com",), ("testfile",), ("a",), ("",), (None,)], "q string"), "q", iset).collect()}
     assert got["evil.com"] == [(-1, '{"a":3}'), (0, '{"b":2}'), (3, "{}")]
     assert [i for i, _ in got["testfile"]] == [1, 2, 3] and [i for i, _ in got["a"]] == [3, 4] and [i for i, _ in got[""]] == [3]
+
+
+LARGE = {
+    "labels": ("a." * 100_000 + "com", [("Domain", 200_003)]), "hex": ("0a" * 500_000, []), "no boundary": ("x-y_z" * 200_000, []), "dots": ("." * 1_000_000, []), "boundaries": (" ,;" * 300_000, []), "colons": ("a:" * 400_000 + ":b", []),
+    "marks": ("a@b.com@" * 100_000, [("Email", 7)]), "names": ("w.example.com " * 50_000, [("Domain", 13)]), "local": ("a." * 300_000 + "@example.com", [("Domain", 11), ("Email", 600_012)]), "words": ("plain words of a text. " * 50_000, []),
+}
+
+
+@pytest.mark.parametrize("name", list(LARGE))
+def test_large_texts_are_read_in_time(spark, name):
+    text, want = LARGE[name]
+    began = time.time()
+    rows = extract(spark.createDataFrame([(text,)], "text string"), "text", TYPES).selectExpr("item_type", "length(raw) n").distinct().collect()
+    assert sorted(set(map(tuple, rows)) & set(want)) == want and (want or not rows)
+    assert time.time() - began < 30
+    began = time.time()
+    assert {(k, len(raw)) for k, raw, _, _, _ in scan(text.encode())} == set(map(tuple, rows))
+    assert time.time() - began < 30
+
+
+WORDS = ["10.0.0.5", "1.2.3.4.", "word.", "a.b.com", "x.com", "co.uk", "u@x.com", "u@v@x.com", "d41d8cd98f00b204e9800998ecf8427e", "2001:db8::1", "::", "a" * 26, "-x.com", "é.com", "0x" + "a" * 40, "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "..", "", "x"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from(list(" ,;@=:/") + ["", ". "])), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_expressions_agree_with_the_scanner_of_bytes(parts):
+    """The cut of dull tokens takes no item: the scanner finds the same in what is left."""
+    import re
+
+    text = "".join(w + s for w, s in parts)
+    python = lambda p: p.replace(r"\x{80}-\x{10ffff}", "\x80-\U0010ffff")
+    edge = python(BOUNDARY)
+    few = re.sub(rf"[{edge}](?:[^{edge}.]{{0,25}}+\.*+[{edge}])*+", " ", text)
+    mine = lambda t: sorted((k, raw) for k, raw, _, _, _ in scan(t.encode()) if k not in ("Email", "IPv6"))
+    assert mine(few) == mine(text)
+    mail = edge.removesuffix("@=") + "="
+    some = re.sub(rf"[{mail}](?:[^{mail}@]*+[{mail}])*+", " ", text)
+    mails = lambda t: sorted(raw for k, raw, _, _, _ in scan(t.encode()) if k == "Email")
+    assert mails(some) == mails(text)
+
+
+def test_spans_of_a_table(spark):
+    texts = ["é 10.0.0.5 ü", "see a.example.com, u@example.com and 2001:0db8::1.", None, "", "10.0.0.5 10.0.0.5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "start int, text string")
+    rows = extract(df.withColumnRenamed("start", "k"), "text", TYPES, spans=True).collect()
+    assert all(texts[r["k"]].encode()[r["start"] : r["end"]].decode() == r["raw"] for r in rows) and len(rows) == 7
+    plain = extract(df.withColumnRenamed("start", "k"), "text", TYPES).collect()
+    assert sorted((r["k"], r["item_type"], r["value"]) for r in plain) == sorted((r["k"], r["item_type"], r["value"]) for r in rows)
+    assert extract(df, "text", ("IPv4",), spans=True).columns == ["item_type", "raw", "value", "start", "end"]
+
+
+def test_items_inside_words(spark):
+    text = "x10.0.0.5y 1.2.3.256 1.2.3.4.5 zu@example.com! id_0x" + "a" * 40 + "z 0" + "1.2.3.4"
+    found = {(k, raw) for k, raw, _, _, _ in scan(text.encode(), boundaries=False)}
+    assert found == {("IPv4", "10.0.0.5"), ("IPv4", "1.2.3.4"), ("Email", "zu@example.com"), ("Domain", "example.com"), ("Ethereum", "0x" + "a" * 40)}
+    df = spark.createDataFrame([(text,)], "text string")
+    assert {(r["item_type"], r["raw"]) for r in extract(df, "text", TYPES, boundaries=False).collect()} == found
+    assert {(r["item_type"], r["raw"]) for r in extract(df, "text", TYPES, boundaries=False, spans=True).collect()} == found
+    assert not {k for k, *_ in scan(text.encode())} & {"IPv4", "Ethereum"}
+
+
+def test_monero_addresses():
+    address = crypto.monero_address(b"any")
+    assert crypto.monero(address) and address[0] == "4" and not crypto.monero(address[:-1] + ("2" if address[-1] != "2" else "3"))
+    assert ("Monero", address) in {(k, raw) for k, raw, _, _, _ in scan(f"to <{address}>".encode())}
+
+
+def test_lookups_in_several_sets_are_those_in_each(spark):
+    from argosieve.operators.lookup import lookup, lookup_many
+
+    rows = [
+        [("10.0.0.0/8", '{"a":1}'), ("literal:Evil.com", '{"a":2}'), ("*.com", '{"a":3}')], [("::/0", '{"b":1}'), ("10.1.0.0/16", '{"b":2}')], [("EVIL.com", '{"c":1}'), ("*vil*", '{"c":2}'), ("[x-z]?", "{}")], [("2.2.2.2", "{}")],
+    ]
+    sets = [build(rows_feed(spark, r), database_id=f"s{i}", insensitive=i == 2) for i, r in enumerate(rows)]
+    q = spark.createDataFrame([(x,) for x in ("10.1.2.3", "10.2.2.2", "::5", "::1.2.3.4", "2.2.2.2", "evil.com", "Evil.com", "x1", "10.0.0.0/8", None, "", "evil.com")], "q string")
+    each = [tuple(map(str, r)) for s in sets for r in lookup(q, "q", s).collect()]
+    many = lookup_many(q, "q", sets)
+    assert sorted(tuple(map(str, r)) for r in many.collect()) == sorted(each) and len(each) > 8
+    assert not [r for r in each if r[0] == "::1.2.3.4" and r[1] in ("s0", "s3")]
+    only = lookup_many(q, "q", [sets[3]])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regex" not in only and "norm" not in only
+    nothing = build(rows_feed(spark, []), database_id="none")
+    assert lookup_many(q, "q", [nothing]).collect() == []

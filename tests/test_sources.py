@@ -6,6 +6,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from argosieve import cli
 from argosieve.operators.lookup import lookup
@@ -170,3 +171,51 @@ def test_command_line(spark, feeds, capsys, monkeypatch):
 def test_scan_without_sets_or_texts(spark):
     with pytest.raises(ValueError):
         scan(spark.createDataFrame([("x",)], "text string"), "text", []).collect()
+
+
+def test_following_several_files_on_the_command_line(spark, tmp_path):
+    iset = build(rows_feed(spark, [("10.0.0.0/8", "{}"), ("*.example.com", "{}")]))
+    for name, text in (("a.log", "10.0.0.1 x\n"), ("b.log", "10.0.0.2 h.example.com\n")):
+        (tmp_path / name).write_text(text)
+    out = []
+    lines = tail(spark, f"{tmp_path}/a.log\nfile:{tmp_path}/b*")
+    query = follow(lines, [iset], lambda df, n: out.extend(r["matched_text"] for r in df.collect()), str(tmp_path / "cp"), types=("IPv4",))
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(out) == ["10.0.0.1", "10.0.0.2"]
+
+
+def test_shared_folders_keep_their_file_system(spark, monkeypatch):
+    from argosieve.plans import shared
+
+    path = shared.shared_dir(spark, "x")
+    assert path.startswith("file:/") and spark.sparkContext.applicationId in path
+    assert shared.qualified(spark, "/some/folder") == spark._jvm.org.apache.hadoop.fs.Path("/some/folder").getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path("/some/folder")).toString()
+    df = shared.materialize(spark.range(3), "x")
+    assert df.count() == 3
+    shared.stored(df, path)
+    shared.discard(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+@pytest.mark.parametrize(
+    ("code", "change"),
+    [
+        ("prefix_range", lambda s: {"ips": s.ips.withColumn("plen", F.lit(200))}), ("host_bits", lambda s: {"ips": s.ips.withColumn("lo", F.col("lo") + 1)}), ("glob_invalid", lambda s: {"globs": s.globs.withColumn("regex", F.lit(None).cast("string"))}),
+        ("glob_id", lambda s: {"globs": s.globs.withColumn("id", F.lit(0).cast("bigint"))}), ("literal_repeats", lambda s: {"literals": s.literals.unionByName(s.literals)}), ("payload_json", lambda s: {"literals": s.literals.withColumn("data_json", F.lit("{"))}),
+        ("count", lambda s: {"ips": s.ips.filter("false")}), ("payload_empty", lambda s: {"ips": s.ips.withColumn("data_json", F.lit("{}"))}), ("schema", lambda s: {"meta": s.meta | {"schema": "threatdb"}}),
+    ],
+)
+def test_validation_finds_what_is_broken(spark, code, change):
+    sound = build(rows_feed(spark, [("10.0.0.0/8", '{"a":1}'), ("evil.com", '{"a":1}'), ("*.com", '{"a":1}'), ("b*", '{"a":1}')]))
+    assert sound.validate(strict=True).collect() == []
+    parts = {k: getattr(sound, k) for k in ("ips", "literals", "globs", "nodes", "meta")} | change(sound)
+    broken = IndicatorSet(parts["ips"], parts["literals"], parts["globs"], parts["nodes"], parts["meta"])
+    assert code in {r["code"] for r in broken.validate(strict=True).collect()}
+
+
+def test_small_inputs_are_spread_and_large_ones_are_not(spark):
+    from argosieve.plans.shared import spread
+
+    assert "Exchange" in spread(spark.range(10).coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in spread(spark.range(10).coalesce(1), least_bytes=1)._jdf.queryExecution().executedPlan().toString()
