@@ -94,7 +94,7 @@ def test_the_pipeline_drops_short_lines_that_repeat(spark):
     assert kept == {1: 0, 2: 0}
 
 
-@pytest.mark.parametrize(("n", "levels"), [(10_000, 1), (600_000, 1), (3_000_000, 2), (15_000_000, 2)])
+@pytest.mark.parametrize(("n", "levels"), [(10_000, 1), (600_000, 1), (15_000_000, 1), (150_000_000, 2), (20_000_000_000, 2)])
 def test_near_edges_with_the_plan_of_a_large_corpus(spark, n, levels):
     """Pairs at the radius itself, with the very levels, repetitions, weights and centres that a corpus of n gets."""
     rng = np.random.default_rng(8)
