@@ -424,3 +424,83 @@ def test_partitions_are_held_in_parts(spark, monkeypatch):
     want = Counter(tuple(r) for r in linededup.dedup_lines(docs, min_chars=1).collect())
     monkeypatch.setattr(linededup, "HELD_BYTES", 10)
     assert Counter(tuple(r) for r in linededup.dedup_lines(docs, min_chars=1).collect()) == want
+
+
+def pipeline_fixture():
+    """Documents whose fate is known: toxic ones, disguised ones, shared passages, exact and near copies, nulls, clean ones."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, int(rng.integers(4, 9))))
+    line = lambda n=14: " ".join(word() for _ in range(n))
+    rows, toxic, passage = [], set(), line(55)
+    for k in range(60):
+        text = "\n".join(line() for _ in range(6))
+        if k % 6 == 1:
+            text += f"\nwhat a {['worthless', 'w0rthless', 'wortthless', 'w o r t h l e s s', 'WORTHLESS!'][k // 6 % 5]} pathetic worthless fool"
+            toxic.add(k)
+        if k % 10 == 4:
+            text += "\n" + passage
+        rows.append((k, text, "en", ["web", "books", None][k % 3]))
+    near = rows[8][1].split(" ")
+    near[3], near[40] = word(), word()
+    rows += [(100, rows[2][1], "en", "web"), (101, " ".join(near), "en", "books"), (102, None, "en", "web"), (103, "", "en", "web"), (None, line(), None, "web")]
+    learnt = []
+    for k in range(200, 240):
+        learnt.append((k, f"{line(10)} you worthless {line(10)}", "en", "web"))
+        toxic.add(k)
+    learnt += [(k, line(20), "en", "books") for k in range(240, 420)]
+    return rows + learnt, toxic, {k for k, *_ in learnt}
+
+
+def test_the_whole_pipeline_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows, toxic, learnt = pipeline_fixture()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in sorted(learnt)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # toxic ones go
+    left = [(k, t) for k, t, *_ in rows if k not in toxic]
+    # lines that an earlier document holds go, and with them documents that had nothing else
+    seen, kept = set(), []
+    for k, t in sorted(left, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines, stay = [] if t is None else t.split("\n"), []
+        for x in lines:
+            key = x.strip(" ")
+            if key not in seen or not key.strip():
+                stay.append(x)
+            seen.add(key)
+        kept.append((k, t if len(stay) == len(lines) else "\n".join(stay), len(lines) - len(stay)))
+    kept = [(k, t) for k, t, gone in kept if not gone or t.strip()]
+    # near copies, by text or by former text
+    before, hashes, marks = {k: t for k, t, *_ in rows}, simhash._WordHashes(), []
+    for k, t in kept:
+        for form in {t, before[k]} if k is not None else ():
+            f = None if form is None else simhash.simhash(form, hashes)
+            if f is not None:
+                marks.append((k, f))
+    near = {}
+    for a, b in itertools.combinations(marks, 2):
+        if int(np.bitwise_count(a[1] ^ b[1]).sum()) <= simhash.RADIUS and a[0] != b[0]:
+            near.setdefault(max(a[0], b[0]), set()).add(min(a[0], b[0]))
+    final = {(k, t) for k, t in kept if k not in near and t is not None}
+    tok = Tokenizer.from_file(bpe.VOCAB)
+    tok.encode_special_tokens = True
+    want = Counter((k, tuple(tok.encode(t, add_special_tokens=False).ids)) for k, t in final)
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
+    assert 100 not in dict(final) and 101 not in dict(final) and None in dict(final) and 103 in dict(final) and len(final) > 200
+    # sources in training order, by the tokens of each
+    mixed = mixing.mix(bpe.with_counts(spark.createDataFrame([(k, t, next((r[3] for r in rows if r[0] == k), None)) for k, t in final], "doc_id bigint, text string, source string"), "size"), size_col="size", whole=True).collect()
+    total = Counter()
+    for r in mixed:
+        total[r["source"] or ""] += max(0, r["size"])
+    grid, knots = np.linspace(0, 1, 20_001), [t for t, _ in mixing.SCHEDULE]
+    power = {s: np.array([float(n) ** e for _, e in mixing.SCHEDULE]) for s, n in total.items()}
+    every = sum(power.values())
+    area = {s: np.concatenate([[0], np.cumsum(np.convolve(np.interp(grid, knots, p / every), [0.5, 0.5], "valid") * np.diff(grid))]) for s, p in power.items()}
+    for s, n in total.items():
+        at = 0
+        for r in sorted((r for r in mixed if (r["source"] or "") == s), key=lambda r: r["position"]):
+            y = (at + r["size"] / 2) / n * area[s][-1]
+            at += r["size"]
+            assert r["position"] == pytest.approx(float(np.interp(y, area[s], grid)), abs=2e-3)
