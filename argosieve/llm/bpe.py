@@ -28,7 +28,7 @@ def encode(docs: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", tex
     def run(batches):
         enc = worker_encoder(vocab_path, tables.value)
         for batch in batches:
-            for part in text_slices(batch, "t", 4_000_000):
+            for part in text_slices(batch, "t"):
                 texts = text_column(part, "t")
                 coded = enc.encode_texts(["" if t is None else t for t in texts])
                 ids = np.frombuffer(b"".join(coded), enc.dtype)
@@ -56,7 +56,7 @@ def with_counts(docs: DataFrame, name: str, vocab_path: str = VOCAB, text_col: s
     def run(batches):
         enc = worker_encoder(vocab_path, tables.value)
         for batch in batches:
-            for part in text_slices(batch, t, 4_000_000):
+            for part in text_slices(batch, t):
                 texts = text_column(part, t)
                 coded = enc.encode_texts([x or "" for x in texts])
                 n = pa.array([len(c) // enc.dtype.itemsize for c in coded], pa.int64(), mask=np.array([x is None for x in texts], bool))

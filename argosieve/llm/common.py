@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +68,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of whole rows of about ``max_bytes`` of text; a longer text is a run of its own."""
+    """Cuts a batch into runs of whole rows of about ``max_bytes`` of text; a longer text is a run of its own.
+
+    After each batch the memory that it took goes back to the system.
+    """
     if not batch.num_rows:
         return
     sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
@@ -74,6 +79,22 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000)
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
+    release()
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Gives free memory back to the system: Python workers live on from stage to stage, and their allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
 
 
 def text_column(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:

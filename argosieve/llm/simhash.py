@@ -42,6 +42,8 @@ ROUNDS = (0.5, 0.75, 1.0)
 _COSTS = (0.006, 40.0, 0.008)
 
 
+#: Words whose hashes a task keeps.
+MAX_WORDS = 200_000
 #: What tells the words of a fingerprint's bits apart in ``mix64``.
 _SEEDS = np.array([(11 + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for j in range(WORDS)], np.uint64)
 
@@ -128,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         hashes = _WordHashes()
         for batch in batches:
             for part in text_slices(batch, "t", 4_000_000):
-                if len(hashes) > 500_000:
+                if len(hashes) > MAX_WORDS:
                     hashes.clear()
                 fps = [simhash(t, hashes) for t in text_column(part, "t")]
                 has = pa.array([f is not None for f in fps], pa.bool_())

@@ -20,6 +20,9 @@ import regex
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: From so few pieces on, those that are left are finished one by one.
 FEW = 6
+#: Bytes that an encoder's kept results take, about; what a result takes besides its letters and ids; and compared pairs of tokens
+#: that are kept.
+KEEP_BYTES, ENTRY_BYTES, KEEP_PAIRS = 32_000_000, 160, 200_000
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -150,10 +153,10 @@ def load_vocab(path: str) -> dict[str, np.ndarray]:
 
 
 class Encoder:
-    """Exact byte-pair encoding. Results of pieces are kept; when there are ``keep`` of them, all are let go."""
+    """Exact byte-pair encoding. Results of chunks are kept; when they take ``keep`` bytes, all are let go."""
 
-    def __init__(self, arrays: dict[str, np.ndarray], keep: int = 500_000):
-        self.a, self.keep = arrays, keep
+    def __init__(self, arrays: dict[str, np.ndarray], keep: int = KEEP_BYTES):
+        self.a, self.keep, self.held = arrays, keep, 0
         self.edges, self.pairs = IntMap(arrays["edge_keys"], arrays["edge_to"]), IntMap(arrays["pair_keys"], arrays["pair_to"])
         root = np.zeros(256, np.int32)
         at_root = arrays["edge_keys"] < 256
@@ -258,7 +261,7 @@ class Encoder:
             self.plain = lists | {"edges": dict(zip(a["edge_keys"].tolist(), a["edge_to"].tolist())), "pairs": dict(zip(a["pair_keys"].tolist(), a["pair_to"].tolist())), "fit": {}}
         p = self.plain
         edges, fail, out, next_out, token_of, depth, fit = (p[k] for k in ("edges", "fail", "out", "next_out", "token_of", "depth", "fit"))
-        if len(fit) > self.keep:
+        if len(fit) > KEEP_PAIRS:
             fit.clear()
         ends = last[start : start + done].tolist()
         for byte in flat[start + done : end].tolist():
@@ -334,17 +337,17 @@ class Encoder:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes (two bytes an id if the vocabulary allows)."""
-        if len(self.first) + len(self.rest) > self.keep:
-            self.first, self.rest = {}, {}
+        if self.held > self.keep:
+            self.first, self.rest, self.held = {}, {}, 0
         if not self.marks:
             self.marks = dict(zip(".,;:!?", self._code(list(".,;:!?"))))
         cut = [t.split(" ") for t in texts]
         heads = {c[0] for c in cut} - self.first.keys()
         tails = set().union(*cut) - self.rest.keys()
-        if heads:
-            self._learn(heads, "", self.first, True)
-        if tails:
-            self._learn(tails, " ", self.rest, True)
+        for new, prefix, into in ((heads, "", self.first), (tails, " ", self.rest)):
+            if new:
+                self._learn(new, prefix, into, True)
+                self.held += sum(ENTRY_BYTES + len(c) + len(into[c] or b"") for c in new)
         get, first, out = self.rest.__getitem__, self.first, []
         for t, c in zip(texts, cut):
             try:

@@ -11,7 +11,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from argosieve.llm import bpe, exactdedup, fingerprint, graph, hashindex, htmlextract, linededup, mixing, sharding, simhash, tokenstore, toxicity
+from argosieve.llm import bpe, exactdedup, fingerprint, graph, hashindex, htmlextract, linededup, mixing, sharding, simhash, tokenstore, toxicity, vocab
 from argosieve.llm.common import read_table, shared_dir
 from argosieve.llm.graph import merge
 
@@ -504,3 +504,15 @@ def test_the_whole_pipeline_against_brute_force(spark, tmp_path):
             y = (at + r["size"] / 2) / n * area[s][-1]
             at += r["size"]
             assert r["position"] == pytest.approx(float(np.interp(y, area[s], grid)), abs=2e-3)
+
+
+def test_an_encoder_keeps_so_many_bytes_and_no_more():
+    rng = np.random.default_rng(4)
+    chunk = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    arrays, top = vocab.load_vocab(bpe.VOCAB), 0
+    enc, fresh = vocab.Encoder(arrays, keep=100_000), vocab.Encoder(arrays)
+    for _ in range(12):
+        texts = [" ".join(chunk(int(n)) for n in (5, 800, 9, 7)) for _ in range(20)]
+        assert enc.encode_texts(texts) == fresh.encode_texts(texts)
+        top = max(top, sum(len(k) + len(v) for kept in (enc.first, enc.rest) for k, v in kept.items()))
+    assert 20_000 < top < 160_000
