@@ -14,8 +14,8 @@ from argosieve.llm.vocab import load_vocab, worker_encoder
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 
 
-def encode(docs: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_tokens, ids, exact); ``exact`` tells that the ids decode to the text's very bytes.
+def encode(docs: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
+    """Rows (id, n_tokens, ids, exact), and the column ``place_col``, a bigint, if it is given; ``exact`` tells that the ids decode to the text's very bytes.
 
     The vocabulary is read on the driver and broadcast; its size doesn't depend on the data. A null text gives nulls, an
     empty one no ids. Texts of any length are encoded whole; exactly one encoding fits the merges, so there are no ties.
@@ -23,7 +23,8 @@ def encode(docs: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(load_vocab(vocab_path))
-    src = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t"))
+    place = [] if place_col is None else [docs[place_col].alias("p")]
+    src = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t"), *place)
 
     def run(batches):
         enc = worker_encoder(vocab_path, tables.value)
@@ -39,11 +40,11 @@ def encode(docs: DataFrame, vocab_path: str = VOCAB, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 if gone.any():
                     lists = pc.if_else(pa.array(gone), pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32), mask=gone), lists, pa.array(exact, pa.bool_())], ["k", "n_tokens", "ids", "exact"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32), mask=gone), lists, pa.array(exact, pa.bool_()), *part.columns[2:]], ["k", "n_tokens", "ids", "exact", *part.schema.names[2:]])
 
     kind = src.schema["k"].dataType
-    out = src.mapInArrow(run, T.StructType([T.StructField("k", kind), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]))
-    return out.withColumnRenamed("k", id_col)
+    out = src.mapInArrow(run, T.StructType([T.StructField("k", kind), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType()), *(T.StructField("p", T.LongType()) for _ in place)]))
+    return out.withColumnsRenamed({"k": id_col} | ({"p": place_col} if place else {}))
 
 
 def with_counts(docs: DataFrame, name: str, vocab_path: str = VOCAB, text_col: str = "text") -> DataFrame:

@@ -63,6 +63,19 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def row_order(df: DataFrame) -> F.Column:
+    """A bigint that rises with the order of the rows of ``df``, over all its partitions; numbers are left out in between.
+
+    Files are read in any order, by their sizes. So a table of files that Spark wrote takes the order in which they were
+    written: the number of the part (up to 2^23), of the file in it and of the row in the file.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return F.monotonically_increasing_id()
+    at = df.metadataColumn("_metadata")
+    number = lambda pattern: F.coalesce(F.regexp_extract(at["file_name"], pattern, 1).try_cast("bigint"), F.lit(0))
+    return F.shiftleft(number(r"^part-(\d+)"), 40) + F.shiftleft(number(r"[-.]c(\d+)\."), 30) + at["row_index"]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -83,7 +83,7 @@ def mix(docs: DataFrame, schedule: tuple = SCHEDULE, weights: dict[str, list[flo
     parts_n = shuffle_partitions(spark)
     out = hit.select("row", "id", F.col("n").alias("n_tokens"), F.round(F.least(t, F.lit(1.0)), 6).alias("position"))
     ranged = out.repartitionById(parts_n, F.least(F.floor(F.col("position") * parts_n), F.lit(parts_n - 1)).cast("int"))
-    return ranged.sortWithinPartitions("position", "id").select(*[F.col("row")[c].alias(c) for c in names], "n_tokens", "position")
+    return ranged.sortWithinPartitions("position", "id", "n_tokens", F.xxhash64("row")).select(*[F.col("row")[c].alias(c) for c in names], "n_tokens", "position")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

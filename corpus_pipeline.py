@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argosieve.llm import bpe, linededup, mixing, simhash, toxicity
-from argosieve.llm.common import materialize, read_table
+from argosieve.llm.common import materialize, read_table, row_order
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents, whole texts of any length; null ones for null texts, none for empty ones; a row each, repeated ones too."""
-    return bpe.encode(docs)
+    """Token ids of the documents, whole texts of any length; null ones for null texts, none for empty ones; a row each, repeated ones too.
+
+    ``position`` rises in training order, the order in which the mixing stage wrote the documents, whatever the order in
+    which its files are read; no two rows have the same one, so there are no ties.
+    """
+    return bpe.encode(docs.select("doc_id", "text", row_order(docs).alias("position")), place_col="position")
 
 
 STAGES = [

@@ -516,3 +516,18 @@ def test_an_encoder_keeps_so_many_bytes_and_no_more():
         assert enc.encode_texts(texts) == fresh.encode_texts(texts)
         top = max(top, sum(len(k) + len(v) for kept in (enc.first, enc.rest) for k, v in kept.items()))
     assert 20_000 < top < 160_000
+
+
+def test_token_ids_keep_the_training_order(spark, tmp_path):
+    rows = [(i, f"text {i} " * (1 + i % 37), f"s{i % 5}", "clash") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, position string").repartition(3)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    want = [r["doc_id"] for r in mixing.mix(bpe.with_counts(docs, "size"), size_col="size", whole=True).collect()]
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    mixed.write.option("maxRecordsPerFile", 40).parquet(f"{tmp_path}/cut")
+    for table in (mixed, spark.read.parquet(f"{tmp_path}/mixed"), spark.read.parquet(f"{tmp_path}/cut")):
+        got = corpus_pipeline.to_token_ids(spark, table, "").collect()
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want != sorted(want)
+        assert len({r["position"] for r in got}) == len(rows)
+    plain = corpus_pipeline.to_token_ids(spark, docs, "").orderBy("position").collect()
+    assert [r["doc_id"] for r in plain] != want
