@@ -205,9 +205,13 @@ V6_ROWS = [("2001:db8::/64", 64), ("2001:db8::1", 128), ("2001:db8::/96", 96)]
 
 
 def lpm_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IPv6 addresses made from customer keys, in a set of three nested prefixes."""
-    tail = F.lower(F.hex("c_custkey"))
-    ips = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("2001:db8::"), tail)).otherwise(F.concat(F.lit("2001:db8::1:0:"), tail)).alias("ip"))
+    """IPv6 addresses made from customer keys, in a set of three nested prefixes.
+
+    A group of an address has 16 bits, so a key takes two: its last 32 bits.
+    """
+    group = lambda shift: F.lower(F.hex(F.shiftright("c_custkey", shift).bitwiseAND(0xFFFF)))
+    tail = F.concat(group(16), F.lit(":"), group(0))
+    ips = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("2001:db8::"), tail)).otherwise(F.concat(F.lit("2001:db8::1:"), tail)).alias("ip"))
     entries = spark.createDataFrame([(i, k, json.dumps({"level": n}, separators=(",", ":"))) for i, (k, n) in enumerate(V6_ROWS)], "seq bigint, key string, data_json string")
     hits = lk.lookup_ip(ips, "ip", build(entries))
     return ips.join(hits, ips["ip"] == hits["text"]).select("c_custkey", F.col("matched_prefix_len").cast("bigint").alias("matched_prefix_len"), "network", "data_json")

@@ -34,6 +34,18 @@ def test_query_equals_sql(spark, tiny, duck, name):
     assert _bag(tuple(r) for r in df.select(*names).collect()) == _bag(tuple(r[i] for i in order) for r in want.fetchall())
 
 
+def test_ipv6_of_large_keys_equals_sql(spark, tmp_path):
+    import duckdb
+
+    keys = [0, 1, 2, 65534, 65535, 65536, 65537, 89999, 900_001, (1 << 32) - 1, 1 << 32, (1 << 40) + 3]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    query, sql = catalogue.QUERIES["lpm_ipv6"]
+    want = con.execute(f"SELECT c_custkey, matched_prefix_len, network, data_json FROM ({sql})").fetchall()
+    assert _bag(tuple(r) for r in query(spark, str(tmp_path)).collect()) == _bag(want) and len(want) == len(keys)
+
+
 def test_entry_has_rows(spark, tiny):
     import __spark_entry__ as e
 
