@@ -94,6 +94,23 @@ def test_keccak():
     assert crypto.keccak256(b"a" * 135).hex() != crypto.keccak256(b"a" * 136).hex()
 
 
+def test_checksums_of_many_tokens_are_those_of_each(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    texts = [rng.randbytes(n) for n in range(300)] + [rng.randbytes(69) for _ in range(300)]
+    assert crypto.keccak256_all(texts) == [crypto.keccak256(t) for t in texts] and crypto.keccak256_all([]) == []
+    sound = [crypto.monero_address(bytes([k])) for k in range(20)]
+    broken = [t[:40] + ("x" if t[40] != "x" else "y") + t[41:] for t in sound]
+    assert crypto.monero_all([*sound, *broken, "", "4" * 95, sound[0][:-1] + "0"]) == [True] * 20 + [False] * 23
+    mixed = "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed"
+    assert crypto.ethereum_all([mixed, mixed.replace("F3E", "f3E"), mixed.lower(), "0x", "", "1x" + mixed[2:]] * 9) == [True, False, True, False, False, False] * 9
+    tried = []
+    monkeypatch.setattr(crypto, "keccak256", lambda data: tried.append(data) or b"")
+    crypto.monero_all([*sound, *broken])
+    assert not tried, "a hash was taken token by token"
+
+
 def test_longest_prefix_against_brute_force(spark):
     rng = random.Random(5)
     nets = [f"{ipaddress.IPv4Address(rng.getrandbits(4) << 28 | rng.getrandbits(6))}/{rng.choice([0, 1, 4, 8, 24, 27, 30, 31, 32])}" for _ in range(60)] + ["2001:db8::/32", "2001:db8::/64", "::/0", "2001:db8::1"]
