@@ -504,7 +504,7 @@ PAYLOADS = [
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.lit(p) for p, _ in PAYLOADS])
-    return table(spark, sf_dir, "part").select("p_partkey", F.get(rows, (F.col("p_partkey") % len(PAYLOADS)).cast("int")).alias("data_json"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.get(rows, (F.col("p_partkey") % len(PAYLOADS)).cast("int")).alias("data_json"))
 
 
 def _violations(c: Column) -> Column:

@@ -46,6 +46,12 @@ def test_ipv6_of_large_keys_equals_sql(spark, tmp_path):
     assert _bag(tuple(r) for r in query(spark, str(tmp_path)).collect()) == _bag(want) and len(want) == len(keys)
 
 
+def test_payloads_are_parsed_once(spark, tiny):
+    for name in ("threat_violations", "threat_valid"):
+        plan = catalogue.QUERIES[name][0](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().replace("_", "").count("parsejson") == 1, name
+
+
 def test_entry_has_rows(spark, tiny):
     import __spark_entry__ as e
 
