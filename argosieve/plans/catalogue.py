@@ -21,7 +21,7 @@ from argosieve.operators.quality import threatdb_violations
 from argosieve.operators.values import flatten, format_bytes, format_number, format_rate, path_get
 from argosieve.plans.indicators import IndicatorSet, build, builder_stats
 from argosieve.plans.scan import items_json, scan, scan_stats, to_ndjson
-from argosieve.plans.shared import shared_dir, spread
+from argosieve.plans.shared import shared_dir, spread, write_each
 from argosieve.sources import misp
 from argosieve.sources.feeds import canonical_json, coerce, concat_feeds, csv_feed, entries_from_table, json_feed, text_feed
 from argosieve.sources.logs import log_lines
@@ -717,11 +717,12 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def misp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in a file each, beside files that hold none."""
+    """Events in a file each, beside files that hold none; one folder for all, as listing one for each would take longer than
+    reading them."""
     path = shared_dir(spark, "feed-misp")
     events = events_json(spark, sf_dir).unionByName(spark.createDataFrame([('{"no":"event"}',)], "value string"))
-    events.withColumn("f", F.md5("value")).repartition("f").write.partitionBy("f").text(path)
-    return misp.misp_feed(spark, f"{path}/*/*").select("key", "kind", canonical_json(F.col("data_json")).alias("data_json"))
+    write_each(events.repartition(spark.sparkContext.defaultParallelism, "value"), path)
+    return misp.misp_feed(spark, path).select("key", "kind", canonical_json(F.col("data_json")).alias("data_json"))
 
 
 def gzip_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,6 +55,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return stored(df, shared_dir(df.sparkSession, tag))
 
 
+def write_each(texts: DataFrame, path: str) -> int:
+    """Writes every distinct text of the column ``value`` as a file of its own, named by its hash, into a folder; returns the rows.
+
+    Tasks write by Arrow's file systems, since Hadoop's local one starts processes for every file. A file gets its name once it
+    is whole, and a task that runs twice replaces its files by equal ones.
+    """
+    uri = "file://" + path[5:] if path.startswith("file:") and not path.startswith("file://") else path
+
+    def run(batches):
+        fs, folder = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(folder, recursive=True)
+        for batch in batches:
+            for text in batch.column(0).drop_null().to_pylist():
+                data = text.encode("utf-8", "surrogatepass")
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(data)
+                fs.move(part, f"{folder}/{hashlib.md5(data).hexdigest()}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return texts.select("value").mapInArrow(run, "n bigint").groupBy().sum("n").first()[0] or 0
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """``df`` as Parquet at ``path``, read back."""
     schema = df.schema

@@ -45,12 +45,16 @@ def _tag_names(tags: Column) -> Column:
 
 
 def attributes(events: DataFrame) -> DataFrame:
-    """One row an attribute: the event's fields, the object's name and comment, and ``a``, the attribute."""
-    e = events.select("Event.*", F.monotonically_increasing_id().alias("ev"))
-    plain = e.select("*", F.posexplode("Attribute").alias("i", "a")).withColumn("seq2", F.col("i")).withColumn("object_type", F.lit(None).cast("string")).withColumn("object_comment", F.lit(None).cast("string"))
-    objects = e.select("*", F.posexplode("Object").alias("oi", "o")).select("*", F.posexplode("o.Attribute").alias("i", "a"))
-    objects = objects.withColumn("seq2", F.lit(1 << 20) + F.col("oi") * (1 << 12) + F.col("i")).withColumn("object_type", F.col("o.name")).withColumn("object_comment", F.col("o.comment")).drop("oi", "o")
-    return plain.unionByName(objects)
+    """One row an attribute: the event's fields, the object's name and comment, and ``a``, the attribute.
+
+    Events are read once. Those of one event follow each other, its own before those of its objects.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda a, name, comment: F.struct(a.alias("a"), name.alias("object_type"), comment.alias("object_comment"))
+    plain = F.transform("Event.Attribute", lambda a: row(a, none, none))
+    inner = lambda o: F.transform(o["Attribute"], lambda a: row(a, o["name"], o["comment"]))
+    objects = F.flatten(F.filter(F.transform("Event.Object", inner), lambda x: x.isNotNull()))
+    return events.select("Event.*", F.explode(F.concat(F.coalesce(plain, F.array()), F.coalesce(objects, F.array()))).alias("r")).select("*", "r.*").drop("r", "Attribute", "Object")
 
 
 def _named(n: Column, names: dict[str, str], other: str) -> Column:
@@ -129,9 +133,8 @@ def entries(events: DataFrame, mode: str = "full") -> DataFrame:
         .when(F.octet_length(value) < 1000, F.array(one("literal", value)))
         .otherwise(none)
     )
-    out = rows.select("ev", "seq2", _payload(mode).alias("data_json"), F.posexplode(keys).alias("k", "key"))
-    seq = (F.col("ev") * (1 << 24) + F.col("seq2")) * 2 + F.col("k")
-    return out.select(seq.cast("bigint").alias("seq"), F.col("key.key").alias("key"), F.col("key.kind").alias("kind"), "data_json")
+    out = rows.select(_payload(mode).alias("data_json"), F.explode(keys).alias("key"))
+    return out.select(F.monotonically_increasing_id().alias("seq"), F.col("key.key").alias("key"), F.col("key.kind").alias("kind"), "data_json")
 
 
 def misp_feed(spark: SparkSession, paths: str | list[str], mode: str = "full") -> DataFrame:

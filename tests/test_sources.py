@@ -50,6 +50,25 @@ def test_logs(spark, tmp_path):
     assert [r["text"] for r in log_lines_bytes(spark, str(tmp_path / "b.log")).collect()] == ["10.0.0.1 \xff"]
 
 
+def test_events_in_many_files_and_partitions(spark, tmp_path):
+    """A file for each event, all in one folder, and a number for each entry, however many partitions there are."""
+    from argosieve.plans.shared import write_each
+
+    inner = [{"type": "md5", "value": "o{k}a"}, {"type": "md5", "value": "o{k}b"}]
+    event = {"info": "e{k}", "Object": [None, {"name": "no attributes"}, {"name": "file", "comment": "c", "Attribute": inner}], "Attribute": [{"type": "domain|ip", "value": "d{k}|10.0.0.1"}, {"type": "md5", "value": "m{k}"}]}
+    texts = [json.dumps({"Event": event}).replace("{k}", str(k)) for k in range(90)]
+    path = f"file:{tmp_path}/events"
+    df = spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "value string")
+    assert write_each(df.repartition(7, "value"), path) == 91 and len(os.listdir(tmp_path / "events")) == 90
+    events = misp.read_events(spark, path).repartition(80, F.col("Event.info"))
+    assert misp.attributes(events)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    rows = sorted((r["seq"], r["key"]) for r in misp.entries(events).collect())
+    want = {k: [f"d{k}", "10.0.0.1", f"m{k}", f"o{k}a", f"o{k}b"] for k in range(90)}
+    assert len({n for n, _ in rows}) == len(rows) == 450
+    keys = [k for _, k in rows]
+    assert all(keys[keys.index(w[0]) : keys.index(w[0]) + 5] == w for w in want.values())
+
+
 def test_misp_files(spark, tmp_path):
     event = {"Event": {"uuid": "u", "info": "i", "threat_level_id": 2, "date": "2024-01-01", "Attribute": [{"type": "ip-src", "value": "192.168.1.1", "to_ids": True}], "Object": [{"name": "file", "comment": "oc", "Attribute": [{"type": "md5", "value": "ab"}, {"type": "text", "value": "no"}]}]}}
     (tmp_path / "e.json").write_text(json.dumps(event))
