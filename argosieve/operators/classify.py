@@ -30,9 +30,9 @@ def classify(entries: DataFrame) -> DataFrame:
         name = name.when(key.startswith(mark + ":"), F.substring(key, len(mark) + 2, 1 << 30))
     df = entries.withColumn("_marked", marked).withColumn("name", F.coalesce(name, key))
     prefix = parse_prefix(F.when(F.col("_marked").isNull() | (F.col("_marked") == "ip"), F.col("name")))
-    df = df.withColumn("prefix", prefix)
-    globby = (F.col("_marked") == "glob") | (F.col("_marked").isNull() & F.col("prefix").isNull() & has_wildcard(F.col("name")))
-    df = df.withColumn("_glob", is_valid_glob(F.when(globby, F.col("name"))))
+    # no prefix has a wildcard, so the two tests need nothing of each other and one Python worker makes both
+    globby = (F.col("_marked") == "glob") | (F.col("_marked").isNull() & has_wildcard(F.col("name")))
+    df = df.withColumns({"prefix": prefix, "_glob": is_valid_glob(F.when(globby, F.col("name")))})
     kind = (
         F.when((F.col("_marked") == "ip") & F.col("prefix").isNull(), _error("not an address or prefix: ", key))
         .when((F.col("_marked") == "glob") & ~F.col("_glob"), _error("not a glob: ", key))

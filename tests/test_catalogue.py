@@ -52,6 +52,11 @@ def test_payloads_are_parsed_once(spark, tiny):
         assert plan.lower().replace("_", "").count("parsejson") == 1, name
 
 
+def test_keys_take_one_python_worker_a_task(spark, tiny):
+    plan = catalogue.classify_keys(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_entry_has_rows(spark, tiny):
     import __spark_entry__ as e
 
